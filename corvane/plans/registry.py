@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: list = []
+from corvane.plans import duplicates, evaluation, portable, splits
+
+FAMILIES = [splits, duplicates, evaluation, portable]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

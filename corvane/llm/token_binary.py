@@ -126,12 +126,43 @@ def from_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _encoder(tokenizer: str, end_id: int, cache_size: int):
-    """Texts to ids, a chunk between blanks at a time: the pre-tokenizer drops white space, so chunks are independent."""
-    known: dict[str, bytes] = {}
+    """Texts to ids, a chunk between blanks at a time.
+
+    The tokenizer drops white space, lower-cases, and never joins letters with other characters, so chunks are
+    independent, A-Z can be lowered first, and a stop or comma after letters can be looked up on its own. Chunks
+    come from two generations of bounded size, the older of which goes when the newer is full.
+    """
+    young: dict[bytes, bytes] = {}
+    old: dict[bytes, bytes] = {}
     end = np.array([end_id], "<u4").tobytes()
     made = []
 
+    def learn(chunks: list[bytes]) -> None:
+        for chunk, got in zip(chunks, made[0].encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
+            young[chunk] = np.array(got.ids, "<u4").tobytes()
+
+    def find(chunks: set[bytes]) -> None:
+        """Puts all chunks in the young generation."""
+        missing, joined = set(), []
+        for c in chunks:
+            if c in old:
+                young[c] = old[c]
+            elif c[-1:] in (b".", b",") and c[:-1].decode().isalpha():
+                joined.append(c)
+            else:
+                missing.add(c)
+        for c in joined:
+            for piece in (c[:-1], c[-1:]):
+                if piece in old:
+                    young.setdefault(piece, old[piece])
+                elif piece not in young:
+                    missing.add(piece)
+        learn(list(missing))
+        for c in joined:
+            young[c] = young[c[:-1]] + young[c[-1:]]
+
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal young, old
         if not made:
             import os
 
@@ -139,15 +170,12 @@ def _encoder(tokenizer: str, end_id: int, cache_size: int):
             from tokenizers import Tokenizer
 
             made.append(Tokenizer.from_file(tokenizer))
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > cache_size:
-            known.clear()
-            new = set().union(*split)
-        new = list(new)
-        for chunk, got in zip(new, made[0].encode_batch(new, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join([known[c] for c in chunks]) + end for chunks in split]
+        raw = [t.encode("utf-8", "replace").replace(b"\n", b" ") for t in texts]
+        split = [(x if b"<|" in x else x.lower()).split(b" ") for x in raw]  # special tokens are told by their case
+        if len(young) > cache_size:
+            old, young = young, {}
+        find(set().union(*split).difference(young))
+        return [b"".join([young[c] for c in chunks]) + end for chunks in split]
 
     return encode
 

@@ -125,7 +125,18 @@ def from_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[0], out[1], unpack(n, out[2], out[3], out[4])
 
 
+_encoders: dict = {}
+
+
 def _encoder(tokenizer: str, end_id: int, cache_size: int):
+    """The encoder of this Python worker: tasks that follow each other share the tokenizer and its chunks."""
+    key = (tokenizer, end_id, cache_size)
+    if key not in _encoders:
+        _encoders[key] = _new_encoder(*key)
+    return _encoders[key]
+
+
+def _new_encoder(tokenizer: str, end_id: int, cache_size: int):
     """Texts to ids, a chunk between blanks at a time.
 
     The tokenizer drops white space, lower-cases, and never joins letters with other characters, so chunks are

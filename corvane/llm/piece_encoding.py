@@ -29,7 +29,7 @@ from corvane.llm.storage import cut, new_path
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ɏ"
 WIDE = 60
-PACK = 1 << 25  # characters after which a pack ends
+PACK = 1 << 23  # characters after which a pack ends
 UNIT = re.compile(rf"{SPACE}*(?:[{LETTERS}]+|[^{LETTERS}{SPACE}\n]+)|{SPACE}+|\n+")
 Bytes = dict[int, bytes]
 
@@ -65,9 +65,19 @@ def load_model(path: str):
 
 
 def piece_table(spark: SparkSession, pieces) -> DataFrame:
-    """id, piece, score, rank (0 for the best score, shared by equal scores); as many rows as the vocabulary."""
+    """id, piece, score, rank (0 for the best score, shared by equal scores), risky; as many rows as the vocabulary.
+
+    A piece is risky if a longer piece that begins or ends with it has a better rank: once it is merged, an edge
+    that comes earlier by rank may become ready.
+    """
     order = {s: k for k, s in enumerate(sorted({s for _, _, s in pieces}, reverse=True))}
-    return spark.createDataFrame([(i, p, s, order[s]) for i, p, s in pieces], "id int, piece string, score double, rank int")
+    rank = {p: order[s] for _, p, s in pieces}
+    risky = set()
+    for p, k in rank.items():
+        for part in (x for c in range(1, len(p)) for x in (p[:c], p[c:])):
+            if len(part) > 1 and rank.get(part, -1) >= k:
+                risky.add(part)
+    return spark.createDataFrame([(i, p, s, order[s], p in risky) for i, p, s in pieces], "id int, piece string, score double, rank int, risky boolean")
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +123,7 @@ def _bit(i: Column) -> Column:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit, edges: array of (rank, s, e, id, score) of the pieces that occur in each of units(unit), by rank and start.
+    """unit, edges: array of (rank, s, e, id, score, risky) of the pieces that occur in each of units(unit), by rank and start.
 
     units must be distinct; a unit without any edge has a row with an empty array.
     """
@@ -126,9 +136,9 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     )
     rows = units.select("unit", F.explode(spans).alias("x")).select("unit", "x.s", "x.e", "x.piece")
     edges = rows.join(F.broadcast(pieces), "piece")
-    grouped = edges.groupBy("unit").agg(F.collect_list(F.struct("rank", "s", "e", "id", "score")).alias("edges"))
+    grouped = edges.groupBy("unit").agg(F.collect_list(F.struct("rank", "s", "e", "id", "score", "risky")).alias("edges"))
     out = units.join(grouped, "unit", "left")
-    none = F.array().cast("array<struct<rank:int,s:int,e:int,id:int,score:double>>")
+    none = F.array().cast("array<struct<rank:int,s:int,e:int,id:int,score:double,risky:boolean>>")
     return out.select("unit", F.coalesce(F.sort_array("edges"), none).alias("edges"))
 
 
@@ -139,16 +149,23 @@ def _fallback(unit: Column, at: Column, byte0: int) -> Column:
 
 
 def merge_paths(found: DataFrame, byte0: int) -> DataFrame:
-    """unit, ids by BPE: of two neighbours whose union is a piece, those of the best rank merge, the leftmost first."""
+    """unit, ids by BPE: of two neighbours whose union is a piece, those of the best rank merge, the leftmost first.
+
+    Bit s of the mask is set where a symbol starts. One pass over the edges by rank is the whole answer unless it
+    merges a risky piece; then the unit is folded again, taking the best ready edge anew at every step.
+    """
     n = F.length("unit")
-    edge = lambda e: F.struct(e["s"].alias("s"), e["e"].alias("e"), e["id"].alias("id"), (_bit(e["s"]).bitwiseOR(_bit(e["e"]))).alias("ends"), (_bit(e["e"]) - _bit(e["s"] + 1)).alias("inner"))
+    again = F.lit(1 << 62)
+    edge = lambda e: F.struct(e["s"].alias("s"), e["e"].alias("e"), e["id"].alias("id"), (_bit(e["s"]).bitwiseOR(_bit(e["e"]))).alias("ends"), (_bit(e["e"]) - _bit(e["s"] + 1)).alias("inner"), F.when(e["risky"], again).otherwise(F.lit(0).cast("long")).alias("flag"))
     df = found.select("unit", F.transform("edges", edge).alias("edges"))
     df = df.select("unit", "edges", F.filter("edges", lambda e: e["inner"] != 0).alias("wide"))
     start = (_bit(n) - 1).bitwiseOR(_bit(n))
     ready = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inner"])) == 1)
+    once = F.aggregate("wide", start, lambda m, e: F.when(ready(m, e), m.bitwiseAND(F.bitwise_not(e["inner"])).bitwiseOR(e["flag"])).otherwise(m))
+    df = df.select("unit", "edges", "wide", once.alias("once"))
     step = lambda m, _: m.bitwiseAND(F.bitwise_not(F.coalesce(F.get(F.filter("wide", lambda e: ready(m, e)), 0)["inner"], F.lit(0).cast("long"))))
-    mask = F.when(F.size("wide") == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n - 1, F.lit(1)), F.size("wide") * n)), start, step))
-    df = df.select("unit", "edges", mask.alias("mask"))
+    exact = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)
+    df = df.select("unit", "edges", F.when(F.col("once").bitwiseAND(again) == 0, F.col("once")).otherwise(exact).alias("mask"))
     kept = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
     return _to_ids(df.select("unit", F.transform(kept, lambda e: F.struct(e["s"].alias("s"), e["e"].alias("e"), F.array(e["id"]).alias("ids"))).alias("kept")), byte0)
 

@@ -46,8 +46,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # for each selector: the first place from here on whose id is too wide
     stop = np.full((len(WIDTHS), blocks, BLOCK + 1), BLOCK, np.uint8)
     place = np.arange(BLOCK, dtype=np.uint8)
+    bits = np.frexp(v.astype(np.float64))[1].astype(np.uint8)
+    most = int(bits.max(initial=0))
     for k, width in enumerate(WIDTHS):
-        wide = np.where(v >> np.uint64(width) != 0, place, np.uint8(BLOCK))
+        if width >= most:
+            continue
+        wide = np.where(bits > width, place, np.uint8(BLOCK))
         stop[k, :, :BLOCK] = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1]
     counts = np.array(COUNTS)
     at = np.zeros(blocks, np.int64)
@@ -224,7 +228,7 @@ def _segments(tokenizer: str, end_id: int, cache_size: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, cache_size: int = 300_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, cache_size: int = 700_000) -> None:
     """Encodes every text and writes its ids, each document ended by end_id, in ascending id order under path.
 
     A null text is empty and gives the end id alone. Rows without an id cannot be addressed and raise an error;

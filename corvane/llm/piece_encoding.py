@@ -103,7 +103,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x.clear()
         return row
 
-    for batch in batches:
+    for batch in (whole.slice(k, 64) for whole in batches for k in range(0, whole.num_rows, 64)):
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             text = text or ""
             units = UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -122,24 +122,28 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit, edges: array of (rank, s, e, id, score, risky) of the pieces that occur in each of units(unit), by rank and start.
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
+    """unit, edges: sorted array of edge for each piece that occurs in each of units(unit).
 
-    units must be distinct; a unit without any edge has a row with an empty array.
+    edge is made of rank, s, e, id, score and risky. units must be distinct and not empty; a unit without any edge
+    has a row with an empty array. Starts and ends are exploded as numbers, so substrings are cut in compiled code.
     """
-    n = F.length("unit")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda l: F.struct(s.alias("s"), (s + l).alias("e"), F.substring(F.col("unit"), s + 1, l).alias("piece"))),
-        )
-    )
-    rows = units.select("unit", F.explode(spans).alias("x")).select("unit", "x.s", "x.e", "x.piece")
-    edges = rows.join(F.broadcast(pieces), "piece")
-    grouped = edges.groupBy("unit").agg(F.collect_list(F.struct("rank", "s", "e", "id", "score", "risky")).alias("edges"))
-    out = units.join(grouped, "unit", "left")
-    none = F.array().cast("array<struct<rank:int,s:int,e:int,id:int,score:double,risky:boolean>>")
-    return out.select("unit", F.coalesce(F.sort_array("edges"), none).alias("edges"))
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    spans = starts.select("unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.length("unit")))).alias("e"))
+    rows = spans.select("unit", "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
+    # the first character's row stays without a piece too: every unit keeps a row
+    edges = rows.join(F.broadcast(pieces), "piece", "left").where("id is not null or (s = 0 and e = 1)")
+    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+
+
+def packed_edge() -> Column:
+    """rank, s, e, risky and id in one long, which sorts by rank and start: 20, 6, 6, 1 and 20 bits."""
+    left = lambda c, k: F.shiftleft(F.col(c).cast("long"), k)
+    return left("rank", 33).bitwiseOR(left("s", 27)).bitwiseOR(left("e", 21)).bitwiseOR(left("risky", 20)).bitwiseOR(F.col("id").cast("long"))
+
+
+def scored_edge() -> Column:
+    return F.struct("rank", "s", "e", "id", "score", "risky")
 
 
 def _fallback(unit: Column, at: Column, byte0: int) -> Column:
@@ -149,15 +153,17 @@ def _fallback(unit: Column, at: Column, byte0: int) -> Column:
 
 
 def merge_paths(found: DataFrame, byte0: int) -> DataFrame:
-    """unit, ids by BPE: of two neighbours whose union is a piece, those of the best rank merge, the leftmost first.
+    """unit, ids by BPE over packed edges: of two neighbours whose union is a piece, those of the best rank merge, the leftmost first.
 
     Bit s of the mask is set where a symbol starts. One pass over the edges by rank is the whole answer unless it
     merges a risky piece; then the unit is folded again, taking the best ready edge anew at every step.
     """
     n = F.length("unit")
     again = F.lit(1 << 62)
-    edge = lambda e: F.struct(e["s"].alias("s"), e["e"].alias("e"), e["id"].alias("id"), (_bit(e["s"]).bitwiseOR(_bit(e["e"]))).alias("ends"), (_bit(e["e"]) - _bit(e["s"] + 1)).alias("inner"), F.when(e["risky"], again).otherwise(F.lit(0).cast("long")).alias("flag"))
-    df = found.select("unit", F.transform("edges", edge).alias("edges"))
+    field = lambda e, k, bits: F.shiftright(e, k).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+    spread = lambda e: F.struct(field(e, 27, 6).alias("s"), field(e, 21, 6).alias("e"), field(e, 0, 20).alias("id"), F.when(field(e, 20, 1) == 1, again).otherwise(F.lit(0).cast("long")).alias("flag"))
+    edge = lambda e: F.struct(e["s"].alias("s"), e["e"].alias("e"), e["id"].alias("id"), (_bit(e["s"]).bitwiseOR(_bit(e["e"]))).alias("ends"), (_bit(e["e"]) - _bit(e["s"] + 1)).alias("inner"), e["flag"].alias("flag"))
+    df = found.select("unit", F.transform(F.transform("edges", spread), edge).alias("edges"))
     df = df.select("unit", "edges", F.filter("edges", lambda e: e["inner"] != 0).alias("wide"))
     start = (_bit(n) - 1).bitwiseOR(_bit(n))
     ready = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inner"])) == 1)
@@ -171,7 +177,7 @@ def merge_paths(found: DataFrame, byte0: int) -> DataFrame:
 
 
 def viterbi_paths(found: DataFrame, byte0: int, unknown: float = -1e4) -> DataFrame:
-    """unit, ids by the largest sum of scores; of equal sums the path whose last piece is the longest, and so on back.
+    """unit, ids over scored edges by the largest sum of scores; of equal sums the path whose last piece is the longest, and so on back.
 
     A character without a piece of its own costs unknown. The fold runs over positions; its state holds the best
     sum and last edge up to each.
@@ -224,7 +230,7 @@ def encode_units(units: DataFrame, model_path: str) -> DataFrame:
     """unit, ids for distinct units(unit)."""
     pieces, kind, byte0, _ = load_model(model_path)
     longest = max(len(p) for _, p, _ in pieces)
-    found = lattice(units.where(F.length("unit") <= WIDE), piece_table(units.sparkSession, pieces), longest)
+    found = lattice(units.where(F.length("unit") <= WIDE), piece_table(units.sparkSession, pieces), longest, packed_edge() if kind == "bpe" else scored_edge())
     short = merge_paths(found, byte0) if kind == "bpe" else viterbi_paths(found, byte0)
     return short.union(units.where(F.length("unit") > WIDE).mapInArrow(_by_library(model_path), "unit string, ids array<int>"))
 

@@ -123,7 +123,7 @@ def test_viterbi_is_the_best_path(spark):
 
     units = ["a", "ab", "aba", "abab", "babab", "abbaabab"]
     spelt = {i: s for i, _, s in pieces}
-    rows = piece_encoding.viterbi_paths(piece_encoding.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), table, 3), 100).collect()
+    rows = piece_encoding.viterbi_paths(piece_encoding.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), table, 3, piece_encoding.scored_edge()), 100).collect()
     for r in rows:
         assert sum(spelt[i] for i in r["ids"]) == pytest.approx(best(r["unit"]))
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.storage import cut, new_path
+from corvane.llm.storage import bound_batches, cut, new_path
 
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ɏ"
@@ -275,6 +275,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     through; other columns of docs are ignored. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kept = "pack long, docs array<bigint>, crcs array<bigint>, lengths array<int>, low binary, high binary, units array<string>"
     packed = rows.mapInArrow(_packs, kept)
@@ -315,6 +316,7 @@ def _speller(spelt: Bytes):
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """encoded with its column ids replaced by text; other columns stay. Null ids count as none."""
+    bound_batches(encoded.sparkSession)
     rest = [c for c in encoded.columns if c != "ids"]
     _, _, _, spelt = load_model(model_path)
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in rest)

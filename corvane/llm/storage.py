@@ -29,3 +29,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
+    """Arrow batches of this session hold at most so many rows and about so many bytes: ten thousand long texts are too many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    told = int(spark.conf.get(key))
+    if told <= 0 or told > rows:
+        spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -67,7 +67,18 @@ def review_upsert(spark, sf):
     return O.review_upsert(review, flagged, "event_id").select("event_id", "decision", (F.col("reasons").isNotNull()).alias("flagged"))
 
 
-_P = "(select d.doc_id, source, lang, quality as label, least(n_chars / 4000.0::double, 1.0::double) as score, (least(n_chars / 4000.0::double, 1.0::double) >= 0.5)::int as pred, doc_id % 5 as fold from documents d join labels using (doc_id))"
+def delong_paired(spark, sf):
+    out = V.delong(_pred(spark, sf), "label", "score", "other")
+    return out.select(*[F.round(c, 8).alias(c) for c in ("auc_a", "auc_b", "variance", "z")])
+
+
+def bootstrap_delta(spark, sf):
+    """Twenty replicates over whole sources."""
+    out = V.bootstrap_auc_delta(_pred(spark, sf), "source", "label", "score", "other", 20, 42)
+    return out.select("replicate", F.round("delta", 8).alias("delta"))
+
+
+_P = "(select d.doc_id, source, lang, quality as label, least(n_chars / 4000.0::double, 1.0::double) as score, (d.doc_id * 37 % 101) / 100.0::double as other, (least(n_chars / 4000.0::double, 1.0::double) >= 0.5)::int as pred, doc_id % 5 as fold from documents d join labels using (doc_id))"
 
 
 def _auc(by="", rel=_P):
@@ -79,7 +90,12 @@ def _auc(by="", rel=_P):
 _CONF = "count(*) filter (label = 0 and pred = 0) as tn, count(*) filter (label = 0 and pred = 1) as fp, count(*) filter (label = 1 and pred = 0) as fn, count(*) filter (label = 1 and pred = 1) as tp"
 _MET = "round((tp + tn) / nullif(tp + tn + fp + fn, 0)::double, 9) as accuracy, round(tp / nullif(tp + fn, 0)::double, 9) as sensitivity, round(tn / nullif(tn + fp, 0)::double, 9) as specificity, coalesce(round(tp / nullif(tp + fp, 0)::double, 9), 0.0::double) as precision, coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 9), 0.0::double) as f1"
 _Z = "select {key}, {by}, {m}, avg({m}) over (partition by {by}) as av, stddev_pop({m}) over (partition by {by}) as sd from {rel}"
+_PLACE = "select *, (rank() over (order by {s}) - 1 - (rank() over (partition by label order by {s}) - 1) + (count(*) over (partition by {s}) - count(*) over (partition by {s}, label)) / 2.0::double) as below, count(*) over () - count(*) over (partition by label) as others from {rel}"
+_DELONG = f"with x as ({_PLACE.format(s='score', rel=_P)}), y as ({_PLACE.format(s='other', rel='(select * exclude (below, others), below / others as va from x)')}), g as (select label, case when label = 1 then va else 1 - va end as va, case when label = 1 then below / others else 1 - below / others end as vb from y), r as (select avg(va) filter (label = 1) as auc_a, avg(vb) filter (label = 1) as auc_b, var_samp(va - vb) filter (label = 1) / count(*) filter (label = 1) + var_samp(va - vb) filter (label = 0) / count(*) filter (label = 0) as variance from g) select round(auc_a, 8) as auc_a, round(auc_b, 8) as auc_b, round(variance, 8) as variance, round((auc_a - auc_b) / sqrt(variance), 8) as z from r"
+_BOOT = f"with p as (select * from {_P}), g as (select source, row_number() over (order by md5(concat_ws(':', '42', source)), source) - 1 as r, count(*) over () as n from (select distinct source from p)), w as (select e as replicate, ('0x' || substr(md5(concat_ws(':', '42', cast(e as varchar), cast(r as varchar))), 1, 12))::bigint % n as r, count(*) as w from g, range(1, 21) t(e) group by all), s as (select replicate, w, label, m, v from p join g using (source) join w using (r), lateral (select 'a' as m, score as v union all select 'b', other) z), c as (select replicate, m, v, sum(case when label = 1 then w else 0 end)::double as p, sum(case when label = 0 then w else 0 end)::double as q from s group by all), d as (select *, p * (coalesce(sum(q) over (partition by replicate, m order by v rows between unbounded preceding and 1 preceding), 0) + q / 2) as won from c), u as (select replicate, m, sum(won) / nullif(sum(p) * sum(q), 0) as auc from d group by all) select cast(replicate as integer) as replicate, round(max(auc) filter (m = 'a') - max(auc) filter (m = 'b'), 8) as delta from u group by 1 having delta is not null"
 SQL = {
+    "delong_paired": _DELONG,
+    "bootstrap_delta": _BOOT,
     "auc_total": _auc(),
     "auc_by_source": _auc("source"),
     "branch_auc": f"with good as (select source from {_P} group by 1 having count(distinct label) = 2), a as ({_auc('lang', '(select * from ' + _P + ' where source in (select source from good))')}) select * from a union all select 'mean', cast(sum(n) as bigint), round(avg(auc), 9) from a",
@@ -90,4 +106,4 @@ SQL = {
     "review_upsert": f"with z as ({_Z.format(key='event_id', by='event_type', m='value', rel='events')}), f as (select event_id from z where abs((value - av) / nullif(sd, 0)) > 2.0) select event_id, 'keep' as decision, false as flagged from events where event_id % 7 = 0 union all select event_id, null, true from f where event_id % 7 <> 0",
     "zscore_outliers": "with z as (select concat_ws('-', l_orderkey, l_linenumber) as row_id, l_returnflag, (l_quantity - avg(l_quantity) over w) / stddev_pop(l_quantity) over w as q, (l_extendedprice - avg(l_extendedprice) over w) / stddev_pop(l_extendedprice) over w as p from lineitem window w as (partition by l_returnflag)) select row_id, l_returnflag, round(greatest(abs(q), abs(p)), 6) as max_abs_z, concat_ws(';', case when abs(q) > 2.2 then format('l_quantity(z={:+.1f})', q) end, case when abs(p) > 2.2 then format('l_extendedprice(z={:+.1f})', p) end) as reasons from z where greatest(abs(q), abs(p)) > 2.2",
 }
-QUERIES = {f.__name__: f for f in (auc_total, auc_by_source, branch_auc, confusion_by_source, bias_by_lang, fold_mean_std, late_fusion, zscore_outliers, review_upsert)}
+QUERIES = {f.__name__: f for f in (auc_total, auc_by_source, branch_auc, confusion_by_source, bias_by_lang, fold_mean_std, late_fusion, zscore_outliers, review_upsert, delong_paired, bootstrap_delta)}

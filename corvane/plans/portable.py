@@ -71,16 +71,38 @@ TEXT = {
     "px_window": "select g.vec_id, g.i, round(least(greatest((v - lo) / nullif(hi - lo, 0), 0.0), 1.0), 6) as v from {GRID} g join (select vec_id, percentile_cont(0.05) within group (order by v) as lo, percentile_cont(0.95) within group (order by v) as hi from {GRID} group by vec_id) w on g.vec_id = w.vec_id",
     "px_znorm": "select g.vec_id, g.i, round((v - m) / nullif(s, 0), 6) as v from {GRID} g join (select vec_id, avg(v) as m, stddev_pop(v) as s from {GRID} group by vec_id) w on g.vec_id = w.vec_id",
     "px_crop_pad": "select vec_id, y - 2 as y, x - 2 as x, round(v, 6) as v from {GRID} where y between 2 and 5 and x between 2 and 5",
+    # evaluation, joins and pixels of the second batch
+    "ovr_auc": "select cls, round((sum(case when y = 1 then r else 0.0 end) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * 1.0 * sum(1 - y), 0), 9) as auc from (select cls, y, rank() over (partition by cls order by v) + (count(*) over (partition by cls, v) - 1) / 2.0 as r from (select i as cls, case when label = i then 1 else 0 end as y, v from {GRID} where i < 10) a) b group by cls",
+    "sensitivity_at_specificity": "select source, round(ltpr + (0.1 - lfpr) * (tpr - ltpr) / (fpr - lfpr), 9) as sensitivity from (select source, fpr, tpr, coalesce(lag(fpr) over (partition by source order by score desc), 0.0) as lfpr, coalesce(lag(tpr) over (partition by source order by score desc), 0.0) as ltpr from (select source, score, sum(q) over (partition by source order by score desc rows unbounded preceding) / nullif(cast(sum(q) over (partition by source) as double), 0) as fpr, sum(p) over (partition by source order by score desc rows unbounded preceding) / nullif(cast(sum(p) over (partition by source) as double), 0) as tpr from (select source, n_chars as score, sum(quality) as p, sum(1 - quality) as q from {documents} d join {labels} l on d.doc_id = l.doc_id group by source, n_chars) a) b) c where lfpr <= 0.1 and fpr > 0.1",
+    "manifest_verification": "select coalesce(e.path, a.path) as path, case when a.path is null then 'missing' when e.path is null then 'new' when e.digest <> a.digest then 'changed' else 'ok' end as status from (select o_orderkey as path, md5(o_orderstatus) as digest from {orders}) e full outer join (select l_orderkey as path, md5(max(l_linestatus)) as digest from {lineitem} group by l_orderkey) a on e.path = a.path",
+    "nearest_slice": "select p_partkey, l_orderkey, l_linenumber, gap from (select p_partkey, l_orderkey, l_linenumber, abs(l_quantity - p_size) as gap, row_number() over (partition by p_partkey order by abs(l_quantity - p_size), l_orderkey, l_linenumber, l_suppkey) as rn from {part} join {lineitem} on p_partkey = l_partkey) t where rn = 1",
+    "phase_slice_grid": "select l_orderkey, l_linenumber, l_partkey, dense_rank() over (partition by l_orderkey order by l_returnflag) as phase, row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber, l_partkey, l_suppkey) as slice_no from {lineitem}",
+    "priority_label": "select l_orderkey, case when max(case when l_returnflag = 'R' then 1 else 0 end) = 1 then 'malignant' when max(case when l_returnflag = 'A' then 1 else 0 end) = 1 then 'benign' else 'normal' end as label, count(*) as findings, min(l_quantity - l_linenumber) as x0, max(l_quantity + l_linenumber) as x1 from {lineitem} group by l_orderkey",
+    "majority_baseline": "select source, round(max(n) / cast(sum(n) as double), 9) as chance from (select source, quality, count(*) as n from {documents} d join {labels} l on d.doc_id = l.doc_id group by source, quality) t group by source",
+    "evenly_spaced": "select user_id, k, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as r, count(*) over (partition by user_id) as n from {events}) e join (select 0 as k union all select 1 union all select 2 union all select 3) s on r = {HALF_EVEN}(k * (n - 1) / 3.0, 0)",
+    "cross_entropy_by_source": "select source, round(avg(-ln(case when quality = 1 then p else 1.0 - p end)), 9) as loss from (select source, quality, 1.0 / (1.0 + exp(-n_chars / 4000.0)) as p from {documents} d join {labels} l on d.doc_id = l.doc_id) t group by source",
+    "box_pad_mirror": "select p_partkey, greatest(600 - x1 - 10, 0) as x0, least(600 - x0 + 10, 600) as x1 from (select p_partkey, p_size * 10 as x0, p_size * 10 + 50 as x1 from {part}) t where x1 <= 600",
+    "px_noise": "select vec_id, round(sqrt(pi() / 2.0) * avg(abs(u - 2 * h + d)) / 6.0, 6) as sigma from (select vec_id, x, y, h, lag(h) over (partition by vec_id, x order by y) as u, lead(h) over (partition by vec_id, x order by y) as d from (select vec_id, x, y, lag(v) over (partition by vec_id, y order by x) - 2 * v + lead(v) over (partition by vec_id, y order by x) as h from {GRID}) a) b where h is not null and u is not null and d is not null group by vec_id",
+    "px_blockiness": "select vec_id, round(avg(case when x % 4 = 0 then g end) / nullif(avg(case when x % 4 <> 0 then g end), 0), 6) as blockiness from (select vec_id, x, abs(v - lag(v) over (partition by vec_id, y order by x)) as g from {GRID}) t where g is not null group by vec_id",
+    "px_block_mean": "select vec_id, cast(floor(y / 2) as int) as y, cast(floor(x / 2) as int) as x, round(avg(v), 6) as v from {GRID} group by vec_id, cast(floor(y / 2) as int), cast(floor(x / 2) as int)",
+    "px_equalise": "select vec_id, level, round(sum(n) over (partition by vec_id order by level rows unbounded preceding) / 64.0, 6) as cdf from (select vec_id, cast(floor((v + 1.0) * 16.0) as int) as level, count(*) as n from {GRID} group by vec_id, cast(floor((v + 1.0) * 16.0) as int)) t",
+    "px_erosion": "select vec_id, y, x from (select vec_id, y, x, v, least(lag(v) over (partition by vec_id, y order by x), lead(v) over (partition by vec_id, y order by x), lag(v) over (partition by vec_id, x order by y), lead(v) over (partition by vec_id, x order by y)) as low, case when x between 1 and 6 and y between 1 and 6 then 1 else 0 end as inner_px from {GRID}) t where v > -0.05 and low > -0.05 and inner_px = 1",
+    "px_dilation": "select vec_id, y, x from (select vec_id, y, x, v, greatest(coalesce(lag(v) over (partition by vec_id, y order by x), -9.0), coalesce(lead(v) over (partition by vec_id, y order by x), -9.0), coalesce(lag(v) over (partition by vec_id, x order by y), -9.0), coalesce(lead(v) over (partition by vec_id, x order by y), -9.0)) as top from {GRID}) t where v > 0.15 or top > 0.15",
+    "px_ring_contrast": "select vec_id, round(abs(avg(case when m = 1 then v end) - avg(case when m = 0 then v end)) / nullif(stddev_pop(case when m = 0 then v end), 0), 5) as cnr from (select vec_id, v, case when v > 0.15 then 1 else 0 end as m, greatest(coalesce(lag(v) over (partition by vec_id, y order by x), -9.0), coalesce(lead(v) over (partition by vec_id, y order by x), -9.0), coalesce(lag(v) over (partition by vec_id, x order by y), -9.0), coalesce(lead(v) over (partition by vec_id, x order by y), -9.0)) as top from {GRID}) t where m = 1 or top > 0.15 group by vec_id",
+    "px_kinetic_curve": "select vec_id, phase, round(avg(v), 6) as mean_v, round(max(v), 6) as peak from (select vec_id, y % 4 as phase, v from {GRID} where x between 2 and 5) t group by vec_id, phase",
+    "px_volume_stats": "select label, count(*) as voxels, count(distinct vec_id) as slices, min(x) as x0, max(x) as x1, round(avg(x), 6) as cx, round(avg(y), 6) as cy, round(count(*) * 0.008, 6) as ml from {GRID} where v > 0.15 group by label",
+    "px_ssim_global": "select vec_id, round((2 * ma * mb + 0.0001) * (2 * cov + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)), 6) as ssim from (select a.vec_id, avg(a.v) as ma, avg(b.v) as mb, var_pop(a.v) as va, var_pop(b.v) as vb, covar_pop(a.v, b.v) as cov from {GRID} a join {GRID} b on b.vec_id = a.vec_id + 1 and b.i = a.i where a.vec_id % 2 = 0 group by a.vec_id) t",
+    "px_slice_choice": "select vec_id, y from (select vec_id, y, row_number() over (partition by vec_id order by y) - 1 as r, count(*) over (partition by vec_id) as n from (select vec_id, y from {GRID} where v > 0.0 group by vec_id, y having count(*) >= 4) a) b where abs(r - floor(n / 2)) <= 1",
 }
 EPOCH = {"spark": "cast(unix_micros(lead(cast(ts as timestamp)) over (partition by user_id order by ts, event_id)) - unix_micros(cast(ts as timestamp)) as bigint)", "duck": "epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts)"}
 
 
 def _spark(text: str) -> str:
-    return text.replace("{GRID}", GRID.replace("{px}", PX)).replace("{EPOCH}", EPOCH["spark"])
+    return text.replace("{GRID}", GRID.replace("{px}", PX)).replace("{EPOCH}", EPOCH["spark"]).replace("{HALF_EVEN}", "bround")
 
 
 def _duck(text: str) -> str:
-    text = text.replace("{GRID}", GRID.replace("{px}", PX_DUCK)).replace("{EPOCH}", EPOCH["duck"]).replace("left anti join", "anti join")
+    text = text.replace("{GRID}", GRID.replace("{px}", PX_DUCK)).replace("{EPOCH}", EPOCH["duck"]).replace("{HALF_EVEN}", "round_even").replace("left anti join", "anti join")
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import duplicates, evaluation, portable, splits
+from corvane.plans import catalogue, duplicates, evaluation, portable, splits
 
-FAMILIES = [splits, duplicates, evaluation, portable]
+FAMILIES = [catalogue, splits, duplicates, evaluation, portable]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,6 +30,8 @@ SPACE = "▁"
 LETTERS = "A-Za-zÀ-ɏ"
 WIDE = 60
 PACK = 1 << 23  # characters after which a pack ends
+SHARE = 1 << 15  # units that a task of the lattice gets, up to MOST_SHARES tasks; beyond them tasks grow, and sort
+MOST_SHARES = 20_000
 UNIT = re.compile(rf"{SPACE}*(?:[{LETTERS}]+|[^{LETTERS}{SPACE}\n]+)|{SPACE}+|\n+")
 Bytes = dict[int, bytes]
 
@@ -94,8 +96,8 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(body).astype("<u4") if body else np.zeros(0, "<u4")
         low, high = flat.astype("<u2"), (flat >> 16).astype("<u2")
         row = pa.RecordBatch.from_arrays(
-            [pa.array([(task << 32) | seq]), pa.array([docs], pa.list_(pa.int64())), pa.array([crcs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([squeeze.compress(low.tobytes())], pa.binary()), pa.array([squeeze.compress(high.tobytes())], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))],
-            ["pack", "docs", "crcs", "lengths", "low", "high", "units"],
+            [pa.array([(task << 32) | seq]), pa.array([docs], pa.list_(pa.int64())), pa.array([crcs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([squeeze.compress(low.tobytes())], pa.binary()), pa.array([squeeze.compress(high.tobytes())], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string())), pa.array([len(numbers)])],
+            ["pack", "docs", "crcs", "lengths", "low", "high", "units", "n_units"],
         )
         seq, held = seq + 1, 0
         numbers.clear()
@@ -118,8 +120,13 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def _shifted(x: int, by: Column) -> Column:
+    """x << by, as a long."""
+    return F.call_function("shiftleft", _long(x), by.cast("int"))
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
@@ -133,6 +140,8 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int, edge: Column) ->
     rows = spans.select("unit", "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
     # the first character's row stays without a piece too: every unit keeps a row
     edges = rows.join(F.broadcast(pieces), "piece", "left").where("id is not null or (s = 0 and e = 1)")
+    # a task's units are grouped in a hash table of at most SHARE keys, about 1 kB each; more are sorted
+    units.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", SHARE)
     return edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
 
 
@@ -152,28 +161,41 @@ def _fallback(unit: Column, at: Column, byte0: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.shiftright(F.length(code), 1) - 1), lambda k: F.conv(F.substring(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + byte0)
 
 
+def _field(edge: Column, at: int, bits: int) -> Column:
+    return F.shiftright(edge, at).bitwiseAND(_long((1 << bits) - 1))
+
+
 def merge_paths(found: DataFrame, byte0: int) -> DataFrame:
     """unit, ids by BPE over packed edges: of two neighbours whose union is a piece, those of the best rank merge, the leftmost first.
 
-    Bit s of the mask is set where a symbol starts. One pass over the edges by rank is the whole answer unless it
-    merges a risky piece; then the unit is folded again, taking the best ready edge anew at every step.
+    Bit s of the mask is set where a symbol starts, and bit n past the last. An edge has the bits of its two ends,
+    and of its span from one to the other; it is ready if both ends and just one bit between them are set. One pass
+    over the edges by rank is the whole answer unless the merge of a risky piece makes an earlier edge ready, which
+    is looked up at that merge; then the unit is folded again, taking the best ready edge anew at every step.
     """
     n = F.length("unit")
-    again = F.lit(1 << 62)
-    field = lambda e, k, bits: F.shiftright(e, k).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
-    spread = lambda e: F.struct(field(e, 27, 6).alias("s"), field(e, 21, 6).alias("e"), field(e, 0, 20).alias("id"), F.when(field(e, 20, 1) == 1, again).otherwise(F.lit(0).cast("long")).alias("flag"))
-    edge = lambda e: F.struct(e["s"].alias("s"), e["e"].alias("e"), e["id"].alias("id"), (_bit(e["s"]).bitwiseOR(_bit(e["e"]))).alias("ends"), (_bit(e["e"]) - _bit(e["s"] + 1)).alias("inner"), e["flag"].alias("flag"))
-    df = found.select("unit", F.transform(F.transform("edges", spread), edge).alias("edges"))
-    df = df.select("unit", "edges", F.filter("edges", lambda e: e["inner"] != 0).alias("wide"))
-    start = (_bit(n) - 1).bitwiseOR(_bit(n))
-    ready = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inner"])) == 1)
-    once = F.aggregate("wide", start, lambda m, e: F.when(ready(m, e), m.bitwiseAND(F.bitwise_not(e["inner"])).bitwiseOR(e["flag"])).otherwise(m))
+    again = _long(1 << 62)
+    start_of, end_of, id_of = (lambda e: _field(e, 27, 6)), (lambda e: _field(e, 21, 6)), (lambda e: _field(e, 0, 20))
+    ends = lambda e: _shifted(1, start_of(e)).bitwiseOR(_shifted(1, end_of(e)))
+    span = lambda e: _shifted(2, end_of(e)) - _shifted(1, start_of(e))
+    spread = lambda e: F.struct(e.alias("key"), ends(e).alias("ends"), span(e).alias("span"), (_field(e, 20, 1) == 1).alias("risky"))
+    wide = F.transform(F.filter("edges", lambda e: end_of(e) - start_of(e) > 1), spread)
+    df = found.select("unit", "edges", wide.alias("wide"))
+    ready = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["span"])) == 3)
+    merged = lambda m, e: m.bitwiseAND(F.bitwise_not(e["span"])).bitwiseOR(e["ends"])
+    earlier = lambda m, e: F.exists("wide", lambda o: (o["key"] < e["key"]) & ready(m, o))
+    checked = lambda m, e: F.aggregate(F.array(merged(m, e)), m.bitwiseAND(again), lambda f, x: F.when(earlier(x, e), x.bitwiseOR(again)).otherwise(x.bitwiseOR(f)))
+    once = F.aggregate("wide", _shifted(2, n) - 1, lambda m, e: F.when(~ready(m, e), m).when(e["risky"], checked(m, e)).otherwise(merged(m, e)))
     df = df.select("unit", "edges", "wide", once.alias("once"))
-    step = lambda m, _: m.bitwiseAND(F.bitwise_not(F.coalesce(F.get(F.filter("wide", lambda e: ready(m, e)), 0)["inner"], F.lit(0).cast("long"))))
-    exact = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)
+    best = lambda m: F.slice(F.filter("wide", lambda e: ready(m, e)), 1, 1)
+    exact = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), _shifted(2, n) - 1, lambda m, _: F.aggregate(best(m), m, merged))
     df = df.select("unit", "edges", F.when(F.col("once").bitwiseAND(again) == 0, F.col("once")).otherwise(exact).alias("mask"))
-    kept = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
-    return _to_ids(df.select("unit", F.transform(kept, lambda e: F.struct(e["s"].alias("s"), e["e"].alias("e"), F.array(e["id"]).alias("ids"))).alias("kept")), byte0)
+    df = df.select("unit", "mask", F.filter("edges", lambda e: F.col("mask").bitwiseAND(span(e)) == ends(e)).alias("kept"))
+    # start and id in one long sort by start; a symbol without an edge is a character to be spelt in bytes
+    ordered = F.sort_array(F.transform("kept", lambda e: F.shiftleft(start_of(e), 20).bitwiseOR(id_of(e))))
+    plain = F.transform(ordered, lambda k: id_of(k).cast("int"))
+    whole = F.size("kept") == F.bit_count("mask") - 1
+    return df.select("unit", F.when(whole, plain).otherwise(_with_bytes(F.transform("kept", lambda e: F.struct(start_of(e).cast("int").alias("s"), end_of(e).cast("int").alias("e"), F.array(id_of(e).cast("int")).alias("ids"))), byte0)).alias("ids"))
 
 
 def viterbi_paths(found: DataFrame, byte0: int, unknown: float = -1e4) -> DataFrame:
@@ -199,14 +221,12 @@ def viterbi_paths(found: DataFrame, byte0: int, unknown: float = -1e4) -> DataFr
     return df.select("unit", back.alias("ids"))
 
 
-def _to_ids(df: DataFrame, byte0: int) -> DataFrame:
-    n = F.length("unit")
-    covered = F.aggregate("kept", F.lit(0), lambda a, k: a + k["e"] - k["s"])
+def _with_bytes(kept: Column, byte0: int) -> Column:
+    """ids of the kept symbols in order, with the bytes of every character that none of them covers."""
     spelt = lambda p: F.struct(p.alias("s"), (p + 1).alias("e"), _fallback(F.col("unit"), p, byte0).alias("ids"))
-    inside = lambda p: F.exists("kept", lambda k: (k["s"] <= p) & (p < k["e"]))
-    unknown = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda p: ~inside(p)), spelt)
-    path = F.when(covered == n, F.col("kept")).otherwise(F.concat("kept", unknown))
-    return df.select("unit", F.flatten(F.transform(F.array_sort(path), lambda k: k["ids"])).alias("ids"))
+    inside = lambda p: F.exists(kept, lambda k: (k["s"] <= p) & (p < k["e"]))
+    unknown = F.transform(F.filter(F.sequence(F.lit(0), F.length("unit") - 1), lambda p: ~inside(p)), spelt)
+    return F.flatten(F.transform(F.array_sort(F.concat(kept, unknown)), lambda k: k["ids"]))
 
 
 def _by_library(model_path: str):
@@ -277,7 +297,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = "pack long, docs array<bigint>, crcs array<bigint>, lengths array<int>, low binary, high binary, units array<string>"
+    kept = "pack long, docs array<bigint>, crcs array<bigint>, lengths array<int>, low binary, high binary, units array<string>, n_units long"
     packed = rows.mapInArrow(_packs, kept)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = "packs_" + new_path(spark, "p").rsplit("-", 1)[1]
@@ -285,7 +305,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     packed.write.bucketBy(buckets, "pack").option("path", new_path(spark, "packs")).saveAsTable(table)
     packs = spark.table(table)
     numbered = packs.select("pack", F.posexplode("units").alias("number", "unit"))
-    known = cut(encode_units(numbered.select("unit").distinct(), model_path), "units")
+    total = packs.agg(F.sum("n_units")).first()[0] or 0
+    shares = min(max(-(-total // SHARE), spark.sparkContext.defaultParallelism), MOST_SHARES)
+    known = cut(encode_units(numbered.select("unit").repartition(shares, "unit").distinct(), model_path), "units")
     placed = numbered.join(known, "unit").select(F.col("pack").alias("owner"), "number", "ids")
     right = placed.groupBy("owner")
     return packs.select("pack", "docs", "crcs", "lengths", "low", "high").groupBy("pack").cogroup(right).applyInArrow(_assemble, "doc_id long, text_crc32 long, ids array<int>")

@@ -128,6 +128,28 @@ def test_viterbi_is_the_best_path(spark):
         assert sum(spelt[i] for i in r["ids"]) == pytest.approx(best(r["unit"]))
 
 
+def test_merges_with_pieces_better_than_their_parts(spark):
+    """abc comes before ab and bc by rank, so merging a part makes an earlier edge ready."""
+    pieces = [(1, "abc", -1.0), (2, "ab", -2.0), (3, "bc", -3.0), (4, "ca", -1.5), (5, "cab", -1.2), (6, "a", -9.0), (7, "b", -9.0), (8, "c", -9.0)]
+    score, spelt = {p: s for _, p, s in pieces}, {i: p for i, p, _ in pieces}
+
+    def merge(u):
+        now = list(u)
+        while True:
+            pairs = [(-score[x + y], k) for k, (x, y) in enumerate(zip(now, now[1:])) if x + y in score]
+            if not pairs:
+                return now
+            k = min(pairs)[1]
+            now[k : k + 2] = ["".join(now[k : k + 2])]
+
+    rng = np.random.default_rng(5)
+    units = sorted({"".join("abc"[i] for i in rng.integers(0, 3, n)) for n in [*range(1, 13)] * 8} | {"abc" * 20})
+    table = piece_encoding.piece_table(spark, pieces)
+    found = piece_encoding.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), table, 3, piece_encoding.packed_edge())
+    rows = piece_encoding.merge_paths(found, 100).collect()
+    assert {r["unit"]: [spelt[i] for i in r["ids"]] for r in rows} == {u: merge(u) for u in units}
+
+
 @pytest.mark.parametrize("top", [2, 1 << 9, 1 << 16, 1 << 31, 1 << 32])
 def test_simple8b_round_trip(top):
     rng = np.random.default_rng(3)

@@ -44,12 +44,29 @@ BOILERPLATE = (
 )
 
 
+# The phrases as whole words, with any white space between them.
+FURNITURE = r"(?<![\p{L}\p{M}\p{N}_])(?:" + "|".join(p.replace(" ", SPACE_RUN) for p in BOILERPLATE) + r")(?![\p{L}\p{M}\p{N}_])"
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def line_verdicts(lines: Column, max_symbol_share: float, max_shout_share: float, max_link_share: float, min_distinct_share: float) -> Column:
-    """Array of (line, chars, rule) for an array of lines; rule is null for a line that stays."""
+def _furniture_share(line: Column) -> Column:
+    """Share of the boilerplate phrases in the characters of a line, 0 without any."""
+    low = F.lower(line)
+    chars = lambda x: F.length(F.regexp_replace(x, SPACE_RUN, ""))
+    return F.when(low.rlike(FURNITURE), 1 - chars(F.regexp_replace(low, FURNITURE, "")) / chars(low)).otherwise(0.0)
+
+
+def line_verdicts(
+    lines: Column, max_symbol_share: float, max_shout_share: float, max_link_share: float, min_distinct_share: float, short_words: int = 10, max_furniture_share: float = 0.3
+) -> Column:
+    """Array of (line, chars, rule) for an array of lines; rule is null for a line that stays.
+
+    Boilerplate phrases fail a line of at most short_words words, and a longer one if they make up more than
+    max_furniture_share of its characters.
+    """
     parts = F.transform(lines, lambda l: F.struct(l.alias("line"), space_words(l).alias("words")))
     facts = F.transform(
         parts,
@@ -64,11 +81,11 @@ def line_verdicts(lines: Column, max_symbol_share: float, max_shout_share: float
             F.size(F.filter(p["words"], lambda w: w.isin("|", "»", "›", "•", "·", "::", ">", ">>"))).alias("separators"),
             (_count(p["line"], r"[!?]{2,}") / 2).alias("bangs"),
             p["line"].rlike(r"[.!?:;\u2026\"')\]]\s*$").alias("closed"),
-            F.lower(p["line"]).rlike("|".join(BOILERPLATE)).alias("furniture"),
+            _furniture_share(p["line"]).alias("furniture"),
         ),
     )
     rule = lambda f: (
-        F.when(f["furniture"], "boilerplate")
+        F.when((f["furniture"] > 0) & ((f["n"] <= short_words) | (f["furniture"] > max_furniture_share)), "boilerplate")
         .when((f["separators"] >= 3) & (f["separators"] > f["n"] * max_link_share), "navigation")
         .when(f["symbols"] > f["chars"] * max_symbol_share, "symbols")
         .when((f["n"] >= 3) & (f["upper"] > (f["upper"] + f["lower"]) * max_shout_share) & (f["upper"] >= 8), "shouting")
@@ -126,6 +143,8 @@ def quality_rules(
     max_shout_share: float = 0.7,
     max_link_share: float = 0.2,
     min_distinct_share: float = 0.25,
+    short_words: int = 10,
+    max_furniture_share: float = 0.3,
 ) -> DataFrame:
     """One row per row of docs: counts, base_failed, kept_share, clean_text and kept.
 
@@ -146,7 +165,7 @@ def quality_rules(
         "n_repeat_words",
         worded.alias("worded"),
     )
-    df = df.withColumn("verdicts", line_verdicts(F.col("worded"), max_symbol_share, max_shout_share, max_link_share, min_distinct_share))
+    df = df.withColumn("verdicts", line_verdicts(F.col("worded"), max_symbol_share, max_shout_share, max_link_share, min_distinct_share, short_words, max_furniture_share))
     left = F.filter("verdicts", lambda v: v["rule"].isNull())
     failed = F.filter("verdicts", lambda v: v["rule"].isNotNull())
     df = df.select(

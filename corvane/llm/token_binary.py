@@ -3,11 +3,12 @@
 File format. An output folder is a Parquet table with a row per segment: part and segment (their order is the
 order of the ids), start (ids of the part before it) and payload. A payload is little-endian:
 
-    8 bytes   magic "S8BSEG1\\0"
+    8 bytes   magic "S8BSEG2\\0"
     4 x u32   documents D, ids N, words W, escapes E
     D x i64   document ids          D x u32   ids of each document
     B x u32   first word of each block of 128 ids, B = ceil(N / 128)
     W x u64   words                 E x u64   escaped ids
+    D x u8    1 where a document has no id (its place among the ids holds 0)
 
 The top four bits of a word are its selector: how many ids of how many bits the other 60 hold, lowest bits
 first. Selector 13 is an escape: the word holds the place of one id among the escapes. A block ends with its
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAGIC = b"S8BSEG1\0"
+MAGIC = b"S8BSEG2\0"
 BLOCK = 128
 SEGMENT = 1 << 20  # ids after which a segment ends
 ESCAPE = 13
@@ -109,24 +110,26 @@ def unpack(n: int, offsets: np.ndarray, words: np.ndarray, escapes: np.ndarray)
     return out[:n]
 
 
-def to_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def to_segment(doc_ids: np.ndarray | list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     offsets, words, escapes = pack(ids)
-    head = np.array([len(doc_ids), len(ids), len(words), len(escapes)], "<u4")
-    parts = [MAGIC, head, doc_ids.astype("<i8"), lengths.astype("<u4"), offsets.astype("<u4"), words.astype("<u8"), escapes.astype("<u8")]
+    docs = pa.array(doc_ids, pa.int64())
+    known, missing = docs.fill_null(0).to_numpy(), docs.is_null().to_numpy(zero_copy_only=False)
+    head = np.array([len(docs), len(ids), len(words), len(escapes)], "<u4")
+    parts = [MAGIC, head, known.astype("<i8"), lengths.astype("<u4"), offsets.astype("<u4"), words.astype("<u8"), escapes.astype("<u8"), missing.astype("u1")]
     return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
 
 
-def from_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """document ids, ids of each, all ids."""
+def from_segment(payload: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """document ids (null where there is none), ids of each, all ids."""
     if payload[:8] != MAGIC:
         raise ValueError("not a Simple-8b segment")
     d, n, w, e = (int(x) for x in np.frombuffer(payload, "<u4", 4, 8))
     at = 24
     out = []
-    for kind, count in (("<i8", d), ("<u4", d), ("<u4", -(-n // BLOCK)), ("<u8", w), ("<u8", e)):
+    for kind, count in (("<i8", d), ("<u4", d), ("<u4", -(-n // BLOCK)), ("<u8", w), ("<u8", e), ("u1", d)):
         out.append(np.frombuffer(payload, kind, count, at))
         at += out[-1].nbytes
-    return out[0], out[1], unpack(n, out[2], out[3], out[4])
+    return pa.array(out[0].astype(np.int64), mask=out[5] == 1), out[1], unpack(n, out[2], out[3], out[4])
 
 
 _encoders: dict = {}
@@ -200,14 +203,14 @@ def _segments(tokenizer: str, end_id: int, cache_size: int):
         encode = _encoder(tokenizer, end_id, cache_size)
         part = TaskContext.get().partitionId()
         start = segment = held = 0
-        docs: list[int] = []
+        docs: list[int | None] = []
         data: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal start, segment, held
             lengths = np.array([len(x) // 4 for x in data], np.int64)
             ids = np.frombuffer(b"".join(data), "<u4").astype(np.uint64)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([start]), pa.array([len(ids)]), pa.array([to_segment(np.array(docs, np.int64), lengths, ids)], pa.binary())], ["part", "segment", "start", "n_ids", "payload"])
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([start]), pa.array([len(ids)]), pa.array([to_segment(docs, lengths, ids)], pa.binary())], ["part", "segment", "start", "n_ids", "payload"])
             start, segment, held = start + len(ids), segment + 1, 0
             docs.clear()
             data.clear()
@@ -231,10 +234,10 @@ def _segments(tokenizer: str, end_id: int, cache_size: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, cache_size: int = 700_000) -> None:
     """Encodes every text and writes its ids, each document ended by end_id, in ascending id order under path.
 
-    A null text is empty and gives the end id alone. Rows without an id cannot be addressed and raise an error;
-    rows that repeat an id stand side by side, in the order of their texts. Only the order of ids is shuffled.
+    A null text is empty and gives the end id alone. Rows without an id come before all others and keep a null
+    id; rows that repeat an id, or have none, stand side by side, in the order of their texts (null texts first).
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("a document has no id")).cast("long")).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     out = ranged.mapInArrow(_segments(tokenizer, end_id, cache_size), "part int, segment int, start long, n_ids long, payload binary")
     out.write.parquet(path)
@@ -247,7 +250,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(lengths.astype(np.int64))
             raw = ids.astype("<u4").tobytes()
             crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs.astype(np.int64)), pa.array(start + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([docs, pa.array(start + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +258,7 @@ def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for payload in batch.column("payload"):
             docs, lengths, ids = from_segment(payload.as_py())
             at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(docs.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int64)))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([docs, pa.ListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int64)))], ["doc_id", "ids"])
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,12 @@ last word, so blocks are decoded on their own; unused places of a last word are
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,73 +139,114 @@ def from_segment(payload: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 _encoders: dict = {}
 
+# The normaliser and pre-tokenizer under which a text can be cut at blanks. They drop white space,
+# compose, lower-case, and never join letters with other characters.
+BLANK_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+BLANK_SPLITS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Letters that the normaliser leaves alone, then a run of symbols: two words of such a pre-tokenizer.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?#$%&*()]*)")
+#: Bytes that an entry of the chunk cache takes besides its key and value.
+ENTRY = 200
 
-def _encoder(tokenizer: str, end_id: int, cache_size: int):
+
+def _encoder(tokenizer: str, end_id: int, cache_bytes: int):
     """The encoder of this Python worker: tasks that follow each other share the tokenizer and its chunks."""
-    key = (tokenizer, end_id, cache_size)
+    key = (tokenizer, end_id, cache_bytes)
     if key not in _encoders:
         _encoders[key] = _new_encoder(*key)
     return _encoders[key]
 
 
-def _new_encoder(tokenizer: str, end_id: int, cache_size: int):
-    """Texts to ids, a chunk between blanks at a time.
+def _visible_bytes() -> dict[int, str]:
+    """Byte to the character that stands for it in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _new_encoder(tokenizer: str, end_id: int, cache_bytes: int):
+    """Texts to ids, each ended by end_id.
 
-    The tokenizer drops white space, lower-cases, and never joins letters with other characters, so chunks are
-    independent, A-Z can be lowered first, and a stop or comma after letters can be looked up on its own. Chunks
-    come from two generations of bounded size, the older of which goes when the newer is full.
+    If the file's normaliser and pre-tokenizer are those above, texts are cut at blanks and a chunk is encoded once
+    while the cache holds it: letters of PLAIN by the file's model alone, the rest by the whole tokenizer. Chunks
+    come from two generations of at most about cache_bytes, the older of which goes when the newer is full. With
+    any other file, whole texts go to the tokenizer.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    if sys.byteorder != "little":
+        raise ValueError("ids are packed on little-endian machines")
+    with open(tokenizer, encoding="utf-8") as f:
+        told = json.load(f)
+    whole = Tokenizer.from_file(tokenizer)
+    end = np.array([end_id], "<u4").tobytes()
+    pack = lambda found: [array("I", x.ids).tobytes() for x in found]
+
+    steps = lambda part, key: part[key] if part and part.get("type") == "Sequence" else [part]
+    added = told.get("added_tokens") or []
+    if steps(told["normalizer"], "normalizers") != BLANK_NORMALISER or steps(told["pre_tokenizer"], "pretokenizers") != BLANK_SPLITS or any(t["normalized"] or not t["content"].startswith("<|") for t in added):
+        return lambda texts: [x + end for x in pack(whole.encode_batch_fast(texts, add_special_tokens=False))]
+
+    words = Tokenizer(whole.model)
+    visible = _visible_bytes()
     young: dict[bytes, bytes] = {}
     old: dict[bytes, bytes] = {}
-    end = np.array([end_id], "<u4").tobytes()
-    made = []
+    held = 0
+
+    def by_model(letters: list[bytes]) -> list[bytes]:
+        return pack(words.encode_batch_fast([x.decode() if x.isascii() else x.decode("latin-1").translate(visible) for x in letters], add_special_tokens=False))
 
-    def learn(chunks: list[bytes]) -> None:
-        for chunk, got in zip(chunks, made[0].encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
-            young[chunk] = np.array(got.ids, "<u4").tobytes()
+    def by_tokenizer(chunks: list[bytes]) -> list[bytes]:
+        return pack(whole.encode_batch_fast([x.decode() for x in chunks], add_special_tokens=False))
 
     def find(chunks: set[bytes]) -> None:
         """Puts all chunks in the young generation."""
-        missing, joined = set(), []
+        nonlocal held
+        letters, others, joined = {}, {}, []
         for c in chunks:
             if c in old:
                 young[c] = old[c]
-            elif c[-1:] in (b".", b",") and c[:-1].decode().isalpha():
-                joined.append(c)
+                continue
+            m = PLAIN.fullmatch(c.decode())
+            if not m:
+                others[c] = None
+            elif m[2]:
+                stem = m[1].encode()
+                joined.append((c, stem, c[len(stem) :]))
             else:
-                missing.add(c)
-        for c in joined:
-            for piece in (c[:-1], c[-1:]):
-                if piece in old:
-                    young.setdefault(piece, old[piece])
-                elif piece not in young:
-                    missing.add(piece)
-        learn(list(missing))
-        for c in joined:
-            young[c] = young[c[:-1]] + young[c[-1:]]
+                letters[c] = None
+        for _, stem, marks in joined:
+            for piece, kind in ((stem, letters), (marks, others)):
+                if piece not in young:
+                    if piece in old:
+                        young[piece] = old[piece]
+                    else:
+                        kind[piece] = None
+        for kind, encode in ((letters, by_model), (others, by_tokenizer)):
+            young.update(zip(kind, encode(list(kind)), strict=True))
+        for c, stem, marks in joined:
+            young[c] = young[stem] + young[marks]
+        held += sum(len(c) + len(young[c]) + ENTRY for c in chunks)
 
     def encode(texts: list[str]) -> list[bytes]:
-        nonlocal young, old
-        if not made:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            made.append(Tokenizer.from_file(tokenizer))
+        nonlocal young, old, held
         raw = [t.encode("utf-8", "replace").replace(b"\n", b" ") for t in texts]
         split = [(x if b"<|" in x else x.lower()).split(b" ") for x in raw]  # special tokens are told by their case
-        if len(young) > cache_size:
-            old, young = young, {}
+        if held > cache_bytes:
+            old, young, held = young, {}, 0
         find(set().union(*split).difference(young))
-        return [b"".join([young[c] for c in chunks]) + end for chunks in split]
+        return [b"".join(map(young.__getitem__, chunks)) + end for chunks in split]
 
     return encode
 
 
-def _segments(tokenizer: str, end_id: int, cache_size: int):
+def _segments(tokenizer: str, end_id: int, cache_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer, end_id, cache_size)
+        encode = _encoder(tokenizer, end_id, cache_bytes)
         part = TaskContext.get().partitionId()
         start = segment = held = 0
         docs: list[int | None] = []
@@ -231,7 +277,7 @@ def _segments(tokenizer: str, end_id: int, cache_size: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, cache_size: int = 700_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, cache_bytes: int = 100 << 20) -> None:
     """Encodes every text and writes its ids, each document ended by end_id, in ascending id order under path.
 
     A null text is empty and gives the end id alone. Rows without an id come before all others and keep a null
@@ -239,7 +285,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    out = ranged.mapInArrow(_segments(tokenizer, end_id, cache_size), "part int, segment int, start long, n_ids long, payload binary")
+    out = ranged.mapInArrow(_segments(tokenizer, end_id, cache_bytes), "part int, segment int, start long, n_ids long, payload binary")
     out.write.parquet(path)
 
 

@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 1. Documents are packed: each task turns its texts into numbers of units (runs that no piece of the vocabulary
-   reaches across), one row for each pack with the pack's distinct units. Texts don't travel.
+   reaches across). A pack is a row with its documents' numbers, and its distinct units stand beside it in bundles,
+   one for each share of the units' hashes. Texts don't travel.
 2. The distinct units of all packs become a lattice: every substring up to the longest piece is exploded,
    equi-joined to the piece table, and the edges are grouped by unit.
 3. A higher-order fold finds the path: for unigram models Viterbi over positions, for BPE models (the public
    piece file is one) the merges in rank order over the same edges, as a best path of scores is not what a BPE
    model encodes. Boundaries are bits of a long, so a step is a few bit operations.
-4. Units are joined back to their packs and every pack is assembled from arrays.
+4. The bundles of a share meet its units, which gives one answer for each bundle; answers go to their packs, and
+   every pack is assembled from arrays.
 
 Units of more than WIDE characters don't fit a long; the library encodes those few, with the same model.
 """
@@ -24,16 +26,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.storage import bound_batches, cut, new_path
+from corvane.llm.storage import cut, new_path, settings
 
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ɏ"
 WIDE = 60
-PACK = 1 << 23  # characters after which a pack ends
-SHARE = 1 << 15  # units that a task of the lattice gets, up to MOST_SHARES tasks; beyond them tasks grow, and sort
+PACK = 1 << 24  # characters after which a pack ends
+SHARE = 1 << 21  # characters of text for each share of the units, up to MOST_SHARES
 MOST_SHARES = 20_000
+PACKS_AT_ONCE = 1 << 12  # packs whose bundles of a share meet its units in one group
+KEYS = 1 << 15  # units that a task of the lattice groups in memory; beyond them it sorts
 UNIT = re.compile(rf"{SPACE}*(?:[{LETTERS}]+|[^{LETTERS}{SPACE}\n]+)|{SPACE}+|\n+")
 Bytes = dict[int, bytes]
+#: Ten thousand long texts are too many for one batch of a task that packs them.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 256, "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def load_model(path: str):
@@ -82,42 +88,88 @@ def piece_table(spark: SparkSession, pieces) -> DataFrame:
     return spark.createDataFrame([(i, p, s, order[s], p in risky) for i, p, s in pieces], "id int, piece string, score double, rank int, risky boolean")
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PACKED = "pack long, share int, docs array<bigint>, crcs array<bigint>, lengths array<int>, codes array<binary>, homes binary, units array<string>"
+
+
+class _Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _chunks(text: str) -> list[str]:
+    """Keys of the pieces between blanks; a line's first piece begins with the line ends before it.
+
+    Texts whose units may reach across blanks give their units instead, each marked by a first character \\x01.
+    """
+    if "  " in text or " \n" in text or text[:1] == " " or SPACE in text or "\x01" in text:
+        return ["\x01" + u for u in UNIT.findall(SPACE + text.replace(" ", SPACE))]
+    return text.replace("\n", " \n").replace("\n \n", "\n\n").replace("\n \n", "\n\n").split(" ")
+
+
+def _units(chunk: str) -> list[str]:
+    return [chunk[1:]] if chunk[:1] == "\x01" else UNIT.findall(chunk if chunk[:1] == "\n" else SPACE + chunk)
+
+
+def _packs(shares: int, most: int):
     import zstandard
 
-    task = TaskContext.get().partitionId()
-    numbers: dict[str, int] = {}
-    docs, crcs, lengths, body = [], [], [], []
-    seq = held = 0
-    squeeze = zstandard.ZstdCompressor(level=1)
+    names = [c.split(" ")[0] for c in PACKED.split(", ")]
+
+    def squeezed(x: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+    def rows(**columns) -> pa.RecordBatch:
+        kinds = {"pack": pa.int64(), "share": pa.int32(), "docs": pa.list_(pa.int64()), "crcs": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "codes": pa.list_(pa.binary()), "homes": pa.binary(), "units": pa.list_(pa.string())}
+        n = len(columns["pack"])
+        held = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), kinds[c]) for c in names]
+        return pa.RecordBatch.from_arrays(held, names)
+
+    def packed(number: int, docs: list, crcs: list, chunks: _Numbers, body: list) -> Iterator[pa.RecordBatch]:
+        units = _Numbers()
+        parts = [[units[u] for u in _units(c)] for c in chunks]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        flat = np.array([u for x in parts for u in x], np.int64)
+        seen = np.concatenate(body) if body else np.zeros(0, np.int64)
+        code = flat[_gather((np.cumsum(sizes) - sizes)[seen], sizes[seen])]
+        ends = np.concatenate([[0], np.cumsum(sizes[seen])])[np.cumsum([len(x) for x in body])]
+        lengths = np.diff(np.concatenate([[0], ends]))
+        # frequent units get small numbers, so that the upper bytes of the codes are mostly zero
+        order = np.argsort(-np.bincount(code, minlength=len(units)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        code = rank[code]
+        spelt = list(units)
+        spelt = [spelt[k] for k in order]
+        home = np.array([zlib.crc32(u.encode()) % shares for u in spelt], np.uint32)
+        yield rows(pack=[number], docs=[docs], crcs=[crcs], lengths=[lengths], codes=[[squeezed((code >> (8 * k)).astype(np.uint8)) for k in range(4)]], homes=[squeezed(home)])
+        by_home = np.argsort(home, kind="stable")
+        own, first = np.unique(home[by_home], return_index=True)
+        bundles = pa.ListArray.from_arrays(pa.array(np.append(first, len(home)).astype(np.int32)), pa.array([spelt[k] for k in by_home], pa.string()))
+        yield rows(pack=[number] * len(own), share=own.astype(np.int32), units=bundles)
 
-    def flush() -> pa.RecordBatch:
-        nonlocal seq, held
-        flat = np.concatenate(body).astype("<u4") if body else np.zeros(0, "<u4")
-        low, high = flat.astype("<u2"), (flat >> 16).astype("<u2")
-        row = pa.RecordBatch.from_arrays(
-            [pa.array([(task << 32) | seq]), pa.array([docs], pa.list_(pa.int64())), pa.array([crcs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([squeeze.compress(low.tobytes())], pa.binary()), pa.array([squeeze.compress(high.tobytes())], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string())), pa.array([len(numbers)])],
-            ["pack", "docs", "crcs", "lengths", "low", "high", "units", "n_units"],
-        )
-        seq, held = seq + 1, 0
-        numbers.clear()
-        for x in (docs, crcs, lengths, body):
-            x.clear()
-        return row
-
-    for batch in (whole.slice(k, 64) for whole in batches for k in range(0, whole.num_rows, 64)):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            text = text or ""
-            units = UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            body.append(np.array([numbers.setdefault(u, len(numbers)) for u in units], np.uint32))
-            docs.append(doc)
-            crcs.append(zlib.crc32(text.encode("utf-8", "replace")))
-            lengths.append(len(units))
-            held += len(text)
-            if held >= PACK:
-                yield flush()
-    if docs:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        seq = held = 0
+        docs, crcs, body, chunks = [], [], [], _Numbers()
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                text = text or ""
+                found = _chunks(text) if text else []
+                body.append(np.fromiter(map(chunks.__getitem__, found), np.int64, len(found)))
+                docs.append(doc)
+                crcs.append(zlib.crc32(text.encode("utf-8", "replace")))
+                held += len(text)
+                if held >= most:
+                    yield from packed((task << 32) | seq, docs, crcs, chunks, body)
+                    seq, held = seq + 1, 0
+                    docs, crcs, body, chunks = [], [], [], _Numbers()
+        if docs:
+            yield from packed((task << 32) | seq, docs, crcs, chunks, body)
+
+    return run
 
 
 def _long(x: int) -> Column:
@@ -140,8 +192,6 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int, edge: Column) ->
     rows = spans.select("unit", "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
     # the first character's row stays without a piece too: every unit keeps a row
     edges = rows.join(F.broadcast(pieces), "piece", "left").where("id is not null or (s = 0 and e = 1)")
-    # a task's units are grouped in a hash table of at most SHARE keys, about 1 kB each; more are sorted
-    units.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", SHARE)
     return edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
 
 
@@ -261,18 +311,40 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-def _assemble(packs: pa.Table, units: pa.Table) -> pa.Table:
+def _answers(bundles: pa.Table, known: pa.Table) -> pa.Table:
+    """For each bundle of a share the numbers of ids of its units, and the ids."""
+    import pyarrow.compute as pc
     import zstandard
 
-    found = []
-    known = units.combine_chunks()
-    order = np.argsort(known.column("number").to_numpy())
-    ids = known.column("ids").combine_chunks()
+    squeeze = zstandard.ZstdCompressor(level=1)
+    names, ids = (known.column(c).combine_chunks() for c in ("unit", "ids"))
     offsets, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
-    starts, sizes = offsets[:-1][order], np.diff(offsets)[order]
-    for row in packs.to_pylist():
-        low, high = (np.frombuffer(zstandard.ZstdDecompressor().decompress(row[c]), "<u2") for c in ("low", "high"))
-        number = low.astype(np.int64) | (high.astype(np.int64) << 16)
+    starts, sizes = offsets[:-1], np.diff(offsets)
+    packs, answers = [], []
+    for chunk in bundles.select(["owner", "units"]).to_batches(max_chunksize=256):
+        held = chunk.column("units")
+        at = pc.index_in(held.flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(np.diff(held.offsets.to_numpy()))
+        for i, (pack, end) in enumerate(zip(chunk.column("owner").to_pylist(), ends.tolist(), strict=True)):
+            own = at[(ends[i - 1] if i else 0) : end]
+            packs.append(pack)
+            answers.append([squeeze.compress(x.astype("<u4").tobytes()) for x in (sizes[own], flat[_gather(starts[own], sizes[own])])])
+    return pa.table({"pack": pa.array(packs, pa.int64()), "home": pa.array(bundles.column("share").to_numpy()[: len(packs)], pa.int32()), "sizes": pa.array([a for a, _ in answers], pa.binary()), "ids": pa.array([b for _, b in answers], pa.binary())})
+
+
+def _assemble(packs: pa.Table, answers: pa.Table) -> pa.Table:
+    import zstandard
+
+    plain = lambda x, kind: np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    found = []
+    told = answers.sort_by("home")
+    row = packs.to_pylist()[0] if packs.num_rows else None
+    if row is not None:
+        sizes_of, flat = (np.concatenate([np.zeros(0, "<u4"), *[plain(x, "<u4") for x in told.column(c).to_pylist()]]).astype(np.int64) for c in ("sizes", "ids"))
+        order = np.argsort(plain(row["homes"], "<u4"), kind="stable")
+        starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        starts[order], sizes[order] = np.cumsum(sizes_of) - sizes_of, sizes_of
+        number = sum(plain(x, np.uint8).astype(np.int64) << (8 * k) for k, x in enumerate(row["codes"]))
         lengths = np.array(row["lengths"], np.int64)
         ends = np.cumsum(lengths)
         i = 0
@@ -280,37 +352,41 @@ def _assemble(packs: pa.Table, units: pa.Table) -> pa.Table:
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), side="right")))
             u = number[(ends[i - 1] if i else 0) : ends[j - 1]]
             out = flat[_gather(starts[u], sizes[u])].astype(np.int32)
-            per = np.add.reduceat(np.append(sizes[u], 0), np.minimum(ends[i:j] - lengths[i:j] - (ends[i - 1] if i else 0), len(u))) if len(u) else np.zeros(j - i, np.int64)
-            per = np.where(lengths[i:j] > 0, per, 0)
-            at = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
+            upto = np.concatenate([[0], np.cumsum(sizes[u])])[ends[i:j] - (ends[i - 1] if i else 0)]
+            at = np.concatenate([[0], upto]).astype(np.int32)
             found.append(pa.table({"doc_id": pa.array(row["docs"][i:j], pa.int64()), "text_crc32": pa.array(row["crcs"][i:j], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(out))}))
             i = j
     return pa.concat_tables(found) if found else pa.table({"doc_id": pa.array([], pa.int64()), "text_crc32": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", pack: int = PACK, share: int = SHARE, packs_at_once: int = PACKS_AT_ONCE) -> DataFrame:
     """doc_id, ids, text_crc32 (of the UTF-8 text) for every row of docs: the ids that the model's library gives.
 
     Null and empty texts have no ids. Rows are independent: repeated rows repeat their result and null ids pass
-    through; other columns of docs are ignored. Empty tables give no rows.
+    through; other columns of docs are ignored. Empty tables give no rows. id_col must cast to long.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = "pack long, docs array<bigint>, crcs array<bigint>, lengths array<int>, low binary, high binary, units array<string>, n_units long"
-    packed = rows.mapInArrow(_packs, kept)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    shares = min(max(-(-chars // share), spark.sparkContext.defaultParallelism), MOST_SHARES)
     table = "packs_" + new_path(spark, "p").rsplit("-", 1)[1]
-    # bucketed by pack, so that packs never travel again
-    packed.write.bucketBy(buckets, "pack").option("path", new_path(spark, "packs")).saveAsTable(table)
-    packs = spark.table(table)
-    numbered = packs.select("pack", F.posexplode("units").alias("number", "unit"))
-    total = packs.agg(F.sum("n_units")).first()[0] or 0
-    shares = min(max(-(-total // SHARE), spark.sparkContext.defaultParallelism), MOST_SHARES)
-    known = cut(encode_units(numbered.select("unit").repartition(shares, "unit").distinct(), model_path), "units")
-    placed = numbered.join(known, "unit").select(F.col("pack").alias("owner"), "number", "ids")
-    right = placed.groupBy("owner")
-    return packs.select("pack", "docs", "crcs", "lengths", "low", "high").groupBy("pack").cogroup(right).applyInArrow(_assemble, "doc_id long, text_crc32 long, ids array<int>")
+    with settings(spark, BATCHES):
+        # bucketed by pack, so that packs never travel again; the name goes once it is resolved, the files stay
+        rows.mapInArrow(_packs(shares, pack), PACKED).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack").option("path", new_path(spark, "packs")).saveAsTable(table)
+    held = spark.table(table)
+    packs, bundles = held.where("share is null"), held.where("share is not null").select("pack", "share", "units")
+    n_packs = held.where("share is null").count()
+    spark.sql(f"drop table {table}")
+
+    units = bundles.select(F.explode("units").alias("unit")).repartition(shares, "unit").distinct()
+    with settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": KEYS}):
+        known = cut(encode_units(units, model_path), "units")
+    rounds = max(1, -(-n_packs // packs_at_once))
+    left = bundles.select(F.col("pack").alias("owner"), "share", "units", F.pmod(F.xxhash64("pack"), F.lit(rounds)).cast("int").alias("round"))
+    right = known.select("unit", "ids", (F.crc32(F.col("unit").cast("binary")) % shares).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    answers = left.groupBy("share", "round").cogroup(right.groupBy("share", "round")).applyInArrow(_answers, "pack long, home int, sizes binary, ids binary")
+    own = packs.select("pack", "docs", "crcs", "lengths", "codes", "homes").groupBy("pack")
+    return own.cogroup(answers.groupBy("pack")).applyInArrow(_assemble, "doc_id long, text_crc32 long, ids array<int>")
 
 
 def _speller(spelt: Bytes):
@@ -338,7 +414,6 @@ def _speller(spelt: Bytes):
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """encoded with its column ids replaced by text; other columns stay. Null ids count as none."""
-    bound_batches(encoded.sparkSession)
     rest = [c for c in encoded.columns if c != "ids"]
     _, _, _, spelt = load_model(model_path)
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in rest)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,10 +14,16 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset (tests on one machine) a temporary folder of this process."""
+    """spark.checkpoint.dir of the session, which every machine must see.
+
+    Where it is unset, a session whose driver does all the work (local[n], as in tests) gets a temporary folder of
+    its own; on a cluster that is an error.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="corvane-"))
     return _own[0]
@@ -31,10 +40,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
-    """Arrow batches of this session hold at most so many rows and about so many bytes: ten thousand long texts are too many."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    told = int(spark.conf.get(key))
-    if told <= 0 or told > rows:
-        spark.conf.set(key, rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+@contextmanager
+def settings(spark: SparkSession, values: dict) -> Iterator[None]:
+    """The session has these settings inside, for work that is done there, and its own again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

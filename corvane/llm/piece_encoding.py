@@ -11,17 +11,20 @@
 4. The bundles of a share meet its units, which gives one answer for each bundle; answers go to their packs, and
    every pack is assembled from arrays.
 
-Units of more than WIDE characters don't fit a long; the library encodes those few, with the same model.
+Units of more than WIDE characters don't fit a long; the library encodes those few, with the same model, where
+their bundles are answered.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,7 @@ PACK = 1 << 24  # characters after which a pack ends
 SHARE = 1 << 21  # characters of text for each share of the units, up to MOST_SHARES
 MOST_SHARES = 20_000
 PACKS_AT_ONCE = 1 << 12  # packs whose bundles of a share meet its units in one group
+FRESH = 1 << 19  # units of a share's bundles that are made distinct at once before they travel
 KEYS = 1 << 15  # units that a task of the lattice groups in memory; beyond them it sorts
 UNIT = re.compile(rf"{SPACE}*(?:[{LETTERS}]+|[^{LETTERS}{SPACE}\n]+)|{SPACE}+|\n+")
 Bytes = dict[int, bytes]
@@ -88,7 +92,7 @@ def piece_table(spark: SparkSession, pieces) -> DataFrame:
     return spark.createDataFrame([(i, p, s, order[s], p in risky) for i, p, s in pieces], "id int, piece string, score double, rank int, risky boolean")
 
 
-PACKED = "pack long, share int, docs array<bigint>, crcs array<bigint>, lengths array<int>, codes array<binary>, homes binary, units array<string>"
+PACKED = "pack long, share int, docs array<bigint>, crcs array<bigint>, lengths array<int>, codes binary, sizes binary, spelt binary"
 
 
 class _Numbers(dict):
@@ -113,42 +117,69 @@ def _units(chunk: str) -> list[str]:
     return [chunk[1:]] if chunk[:1] == "\x01" else UNIT.findall(chunk if chunk[:1] == "\n" else SPACE + chunk)
 
 
-def _packs(shares: int, most: int):
+def _squeezed(x: np.ndarray) -> bytes:
     import zstandard
 
-    names = [c.split(" ")[0] for c in PACKED.split(", ")]
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _plain(x: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
 
-    def squeezed(x: np.ndarray) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their bytes apart: upper ones are mostly zero."""
+    return _squeezed(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+
+
+def _from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_plain(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _strings(sizes: bytes, spelt: bytes) -> pa.Array:
+    """The units of a bundle from their lengths in bytes and their bytes."""
+    ends = np.cumsum(_plain(sizes, "<u4"), dtype=np.int64)
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(np.append(0, ends).astype("<i4").tobytes()), pa.py_buffer(_plain(spelt, np.uint8)))
+
+
+def _packs(shares: int, most: int):
+    names = [c.split(" ")[0] for c in PACKED.split(", ")]
+    kinds = {"pack": pa.int64(), "share": pa.int32(), "docs": pa.list_(pa.int64()), "crcs": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "codes": pa.binary(), "sizes": pa.binary(), "spelt": pa.binary()}
 
     def rows(**columns) -> pa.RecordBatch:
-        kinds = {"pack": pa.int64(), "share": pa.int32(), "docs": pa.list_(pa.int64()), "crcs": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "codes": pa.list_(pa.binary()), "homes": pa.binary(), "units": pa.list_(pa.string())}
         n = len(columns["pack"])
-        held = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), kinds[c]) for c in names]
-        return pa.RecordBatch.from_arrays(held, names)
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), kinds[c]) for c in names], names)
 
     def packed(number: int, docs: list, crcs: list, chunks: _Numbers, body: list) -> Iterator[pa.RecordBatch]:
-        units = _Numbers()
-        parts = [[units[u] for u in _units(c)] for c in chunks]
-        sizes = np.array([len(x) for x in parts], np.int64)
-        flat = np.array([u for x in parts for u in x], np.int64)
-        seen = np.concatenate(body) if body else np.zeros(0, np.int64)
+        units, flat, sizes = _Numbers(), array("q"), array("q")
+        for c in chunks:
+            own = _units(c)
+            sizes.append(len(own))
+            flat.extend(map(units.__getitem__, own))
+        sizes, flat = np.array(sizes), np.array(flat)
+        seen = np.concatenate(body) if body else np.zeros(0, np.int32)
         code = flat[_gather((np.cumsum(sizes) - sizes)[seen], sizes[seen])]
         ends = np.concatenate([[0], np.cumsum(sizes[seen])])[np.cumsum([len(x) for x in body])]
         lengths = np.diff(np.concatenate([[0], ends]))
-        # frequent units get small numbers, so that the upper bytes of the codes are mostly zero
-        order = np.argsort(-np.bincount(code, minlength=len(units)), kind="stable")
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        code = rank[code]
-        spelt = list(units)
-        spelt = [spelt[k] for k in order]
-        home = np.array([zlib.crc32(u.encode()) % shares for u in spelt], np.uint32)
-        yield rows(pack=[number], docs=[docs], crcs=[crcs], lengths=[lengths], codes=[[squeezed((code >> (8 * k)).astype(np.uint8)) for k in range(4)]], homes=[squeezed(home)])
-        by_home = np.argsort(home, kind="stable")
-        own, first = np.unique(home[by_home], return_index=True)
-        bundles = pa.ListArray.from_arrays(pa.array(np.append(first, len(home)).astype(np.int32)), pa.array([spelt[k] for k in by_home], pa.string()))
-        yield rows(pack=[number] * len(own), share=own.astype(np.int32), units=bundles)
+        # a unit's place is by share and spelling; alike neighbours are squeezed well
+        spelt = pa.array(list(units), pa.string())
+        home = np.array([zlib.crc32(u.encode()) % shares for u in units], np.int32)
+        order = pc.sort_indices(pa.table({"home": home, "spelt": spelt}), [("home", "ascending"), ("spelt", "ascending")])
+        place = np.empty(len(order), np.uint32)
+        place[order.to_numpy()] = np.arange(len(order), dtype=np.uint32)
+        code = place[code] if len(code) else np.zeros(0, np.uint32)
+        yield rows(pack=[number], docs=[docs], crcs=[crcs], lengths=[lengths], codes=[_planes(code)])
+        spelt, home = spelt.take(order), home[order.to_numpy()]
+        own, first = np.unique(home, return_index=True)
+        bounds, letters = np.frombuffer(spelt.buffers()[1], "<i4", len(spelt) + 1), np.frombuffer(spelt.buffers()[2] or b"", np.uint8)
+        last = np.append(first[1:], len(home))
+        yield rows(
+            pack=[number] * len(own), share=own.tolist(),
+            sizes=[_squeezed(np.diff(bounds[i : j + 1]).astype("<u4")) for i, j in zip(first, last, strict=True)],
+            spelt=[_squeezed(letters[bounds[i] : bounds[j]]) for i, j in zip(first, last, strict=True)],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -158,7 +189,7 @@ def _packs(shares: int, most: int):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
                 found = _chunks(text) if text else []
-                body.append(np.fromiter(map(chunks.__getitem__, found), np.int64, len(found)))
+                body.append(np.fromiter(map(chunks.__getitem__, found), np.int32, len(found)))
                 docs.append(doc)
                 crcs.append(zlib.crc32(text.encode("utf-8", "replace")))
                 held += len(text)
@@ -182,17 +213,20 @@ def _shifted(x: int, by: Column) -> Column:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
-    """unit, edges: sorted array of edge for each piece that occurs in each of units(unit).
+    """edges: sorted array of edge for each piece that occurs in each of units(unit, ...), whose columns stay.
 
     edge is made of rank, s, e, id, score and risky. units must be distinct and not empty; a unit without any edge
     has a row with an empty array. Starts and ends are exploded as numbers, so substrings are cut in compiled code.
     """
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    spans = starts.select("unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.length("unit")))).alias("e"))
-    rows = spans.select("unit", "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
-    # the first character's row stays without a piece too: every unit keeps a row
-    edges = rows.join(F.broadcast(pieces), "piece", "left").where("id is not null or (s = 0 and e = 1)")
-    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
+    own = units.columns
+    starts = units.select(*own, F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    spans = starts.select(*own, "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.length("unit")))).alias("e"))
+    rows = spans.select(*own, "s", "e", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")).alias("part"))
+    # hashes are looked up as longs, equal pieces are what counts; the first character keeps a row of every unit
+    met = rows.join(F.broadcast(pieces.withColumn("hash", F.xxhash64("piece"))), F.xxhash64("part") == F.col("hash"), "left")
+    same = F.col("part") == F.col("piece")
+    edges = met.where(same | ((F.col("s") == 0) & (F.col("e") == 1)))
+    return edges.groupBy(*own).agg(F.sort_array(F.collect_list(F.when(same, edge))).alias("edges"))
 
 
 def packed_edge() -> Column:
@@ -216,7 +250,7 @@ def _field(edge: Column, at: int, bits: int) -> Column:
 
 
 def merge_paths(found: DataFrame, byte0: int) -> DataFrame:
-    """unit, ids by BPE over packed edges: of two neighbours whose union is a piece, those of the best rank merge, the leftmost first.
+    """ids (and all but edges of found) by BPE over packed edges: of two neighbours whose union is a piece, those of the best rank merge, the leftmost first.
 
     Bit s of the mask is set where a symbol starts, and bit n past the last. An edge has the bits of its two ends,
     and of its span from one to the other; it is ready if both ends and just one bit between them are set. One pass
@@ -224,37 +258,39 @@ def merge_paths(found: DataFrame, byte0: int) -> DataFrame:
     is looked up at that merge; then the unit is folded again, taking the best ready edge anew at every step.
     """
     n = F.length("unit")
+    own = [c for c in found.columns if c != "edges"]
     again = _long(1 << 62)
     start_of, end_of, id_of = (lambda e: _field(e, 27, 6)), (lambda e: _field(e, 21, 6)), (lambda e: _field(e, 0, 20))
     ends = lambda e: _shifted(1, start_of(e)).bitwiseOR(_shifted(1, end_of(e)))
     span = lambda e: _shifted(2, end_of(e)) - _shifted(1, start_of(e))
     spread = lambda e: F.struct(e.alias("key"), ends(e).alias("ends"), span(e).alias("span"), (_field(e, 20, 1) == 1).alias("risky"))
     wide = F.transform(F.filter("edges", lambda e: end_of(e) - start_of(e) > 1), spread)
-    df = found.select("unit", "edges", wide.alias("wide"))
+    df = found.select(*own, "edges", wide.alias("wide"))
     ready = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["span"])) == 3)
     merged = lambda m, e: m.bitwiseAND(F.bitwise_not(e["span"])).bitwiseOR(e["ends"])
     earlier = lambda m, e: F.exists("wide", lambda o: (o["key"] < e["key"]) & ready(m, o))
     checked = lambda m, e: F.aggregate(F.array(merged(m, e)), m.bitwiseAND(again), lambda f, x: F.when(earlier(x, e), x.bitwiseOR(again)).otherwise(x.bitwiseOR(f)))
     once = F.aggregate("wide", _shifted(2, n) - 1, lambda m, e: F.when(~ready(m, e), m).when(e["risky"], checked(m, e)).otherwise(merged(m, e)))
-    df = df.select("unit", "edges", "wide", once.alias("once"))
+    df = df.select(*own, "edges", "wide", once.alias("once"))
     best = lambda m: F.slice(F.filter("wide", lambda e: ready(m, e)), 1, 1)
     exact = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), _shifted(2, n) - 1, lambda m, _: F.aggregate(best(m), m, merged))
-    df = df.select("unit", "edges", F.when(F.col("once").bitwiseAND(again) == 0, F.col("once")).otherwise(exact).alias("mask"))
-    df = df.select("unit", "mask", F.filter("edges", lambda e: F.col("mask").bitwiseAND(span(e)) == ends(e)).alias("kept"))
+    df = df.select(*own, "edges", F.when(F.col("once").bitwiseAND(again) == 0, F.col("once")).otherwise(exact).alias("mask"))
+    df = df.select(*own, "mask", F.filter("edges", lambda e: F.col("mask").bitwiseAND(span(e)) == ends(e)).alias("kept"))
     # start and id in one long sort by start; a symbol without an edge is a character to be spelt in bytes
     ordered = F.sort_array(F.transform("kept", lambda e: F.shiftleft(start_of(e), 20).bitwiseOR(id_of(e))))
     plain = F.transform(ordered, lambda k: id_of(k).cast("int"))
     whole = F.size("kept") == F.bit_count("mask") - 1
-    return df.select("unit", F.when(whole, plain).otherwise(_with_bytes(F.transform("kept", lambda e: F.struct(start_of(e).cast("int").alias("s"), end_of(e).cast("int").alias("e"), F.array(id_of(e).cast("int")).alias("ids"))), byte0)).alias("ids"))
+    return df.select(*own, F.when(whole, plain).otherwise(_with_bytes(F.transform("kept", lambda e: F.struct(start_of(e).cast("int").alias("s"), end_of(e).cast("int").alias("e"), F.array(id_of(e).cast("int")).alias("ids"))), byte0)).alias("ids"))
 
 
 def viterbi_paths(found: DataFrame, byte0: int, unknown: float = -1e4) -> DataFrame:
-    """unit, ids over scored edges by the largest sum of scores; of equal sums the path whose last piece is the longest, and so on back.
+    """ids (and all but edges of found) over scored edges by the largest sum of scores; of equal sums the path whose last piece is the longest, and so on back.
 
     A character without a piece of its own costs unknown. The fold runs over positions; its state holds the best
     sum and last edge up to each.
     """
     n = F.length("unit")
+    own = [c for c in found.columns if c != "edges"]
     kind = "array<struct<total:double,s:int,ids:array<int>>>"
     first = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("s"), F.array().cast("array<int>").alias("ids"))).cast(kind)
 
@@ -265,10 +301,10 @@ def viterbi_paths(found: DataFrame, byte0: int, unknown: float = -1e4) -> DataFr
         top = F.array_max(F.when(F.exists(into, lambda e: e["s"] == p - 1), options).otherwise(F.array_append(options, spelt)))
         return F.array_append(best, F.struct(top["total"].alias("total"), (-top["minus_s"]).alias("s"), top["ids"].alias("ids")))
 
-    df = found.select("unit", F.aggregate(F.sequence(F.lit(1), n), first, step).alias("best"))
+    df = found.select(*own, F.aggregate(F.sequence(F.lit(1), n), first, step).alias("best"))
     empty = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
     back = F.aggregate(F.sequence(F.lit(1), n), empty, lambda s, _: F.when(s["at"] <= 0, s).otherwise(F.struct(F.get("best", s["at"])["s"].alias("at"), F.concat(F.get("best", s["at"])["ids"], s["ids"]).alias("ids"))), lambda s: s["ids"])
-    return df.select("unit", back.alias("ids"))
+    return df.select(*own, back.alias("ids"))
 
 
 def _with_bytes(kept: Column, byte0: int) -> Column:
@@ -279,30 +315,24 @@ def _with_bytes(kept: Column, byte0: int) -> Column:
     return F.flatten(F.transform(F.array_sort(F.concat(kept, unknown)), lambda k: k["ids"]))
 
 
-def _by_library(model_path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2 as pb
-
-        model = pb.ModelProto()
-        with open(model_path, "rb") as f:
-            model.ParseFromString(f.read())
-        model.normalizer_spec.add_dummy_prefix = False
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        for batch in batches:
-            units = batch.column("unit").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([sp.encode(u) for u in units], pa.list_(pa.int32()))], ["unit", "ids"])
+def _library(model_path: str):
+    """The library's encoder of units, without the blank that it puts before a text."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
 
-    return run
+    model = pb.ModelProto()
+    with open(model_path, "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.add_dummy_prefix = False
+    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
 
 
 def encode_units(units: DataFrame, model_path: str) -> DataFrame:
-    """unit, ids for distinct units(unit)."""
+    """ids beside the columns of units(unit, ...), which are distinct and of at most WIDE characters."""
     pieces, kind, byte0, _ = load_model(model_path)
     longest = max(len(p) for _, p, _ in pieces)
-    found = lattice(units.where(F.length("unit") <= WIDE), piece_table(units.sparkSession, pieces), longest, packed_edge() if kind == "bpe" else scored_edge())
-    short = merge_paths(found, byte0) if kind == "bpe" else viterbi_paths(found, byte0)
-    return short.union(units.where(F.length("unit") > WIDE).mapInArrow(_by_library(model_path), "unit string, ids array<int>"))
+    found = lattice(units, piece_table(units.sparkSession, pieces), longest, packed_edge() if kind == "bpe" else scored_edge())
+    return merge_paths(found, byte0) if kind == "bpe" else viterbi_paths(found, byte0)
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -311,47 +341,72 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-def _answers(bundles: pa.Table, known: pa.Table) -> pa.Table:
-    """For each bundle of a share the numbers of ids of its units, and the ids."""
-    import pyarrow.compute as pc
-    import zstandard
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(share, unit) of bundles that come in order of their shares: units once for each FRESH of them, wide ones not at all."""
+
+    def told(share: int, held: list[pa.Array]) -> pa.RecordBatch:
+        found = pc.unique(pa.concat_arrays(held))
+        found = found.filter(pc.less_equal(pc.utf8_length(found), WIDE))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), share, np.int32)), found], ["share", "unit"])
+
+    share, held, n = None, [], 0
+    for batch in batches:
+        for own, sizes, spelt in zip(batch.column("share").to_pylist(), batch.column("sizes"), batch.column("spelt"), strict=True):
+            if held and (own != share or n >= FRESH):
+                yield told(share, held)
+                held, n = [], 0
+            share = own
+            held.append(_strings(sizes.as_py(), spelt.as_py()))
+            n += len(held[-1])
+    if held:
+        yield told(share, held)
+
+
+def _answers(model_path: str):
+    def run(bundles: pa.Table, known: pa.Table) -> pa.Table:
+        """For each bundle of a share the numbers of ids of its units, and the ids."""
+        names, ids = (known.column(c).combine_chunks() for c in ("unit", "ids"))
+        offsets, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        answers = []
+        for spelt_sizes, spelt in zip(bundles.column("sizes"), bundles.column("spelt"), strict=True):
+            units = _strings(spelt_sizes.as_py(), spelt.as_py())
+            at = pc.index_in(units, value_set=names)
+            wide = at.is_null().to_numpy(zero_copy_only=False)
+            at = at.fill_null(0).to_numpy().astype(np.int64)
+            if wide.any():
+                more = [np.array(x, np.int32) for x in _library(model_path).encode(units.filter(pa.array(wide)).to_pylist())]
+                own_sizes, parts = np.zeros(len(at), np.int64), [None] * len(at)
+                for k, x in zip(np.nonzero(wide)[0], more, strict=True):
+                    parts[k] = x
+                for k in np.nonzero(~wide)[0]:
+                    parts[k] = flat[starts[at[k]] : starts[at[k]] + sizes[at[k]]]
+                own_sizes[:] = [len(x) for x in parts]
+                own = np.concatenate(parts)
+            else:
+                own_sizes, own = sizes[at], flat[_gather(starts[at], sizes[at])]
+            answers.append((_planes(own_sizes), _planes(own)))
+        return pa.table({"pack": bundles.column("owner"), "home": bundles.column("share"), "sizes": pa.array([a for a, _ in answers], pa.binary()), "ids": pa.array([b for _, b in answers], pa.binary())})
 
-    squeeze = zstandard.ZstdCompressor(level=1)
-    names, ids = (known.column(c).combine_chunks() for c in ("unit", "ids"))
-    offsets, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
-    starts, sizes = offsets[:-1], np.diff(offsets)
-    packs, answers = [], []
-    for chunk in bundles.select(["owner", "units"]).to_batches(max_chunksize=256):
-        held = chunk.column("units")
-        at = pc.index_in(held.flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(np.diff(held.offsets.to_numpy()))
-        for i, (pack, end) in enumerate(zip(chunk.column("owner").to_pylist(), ends.tolist(), strict=True)):
-            own = at[(ends[i - 1] if i else 0) : end]
-            packs.append(pack)
-            answers.append([squeeze.compress(x.astype("<u4").tobytes()) for x in (sizes[own], flat[_gather(starts[own], sizes[own])])])
-    return pa.table({"pack": pa.array(packs, pa.int64()), "home": pa.array(bundles.column("share").to_numpy()[: len(packs)], pa.int32()), "sizes": pa.array([a for a, _ in answers], pa.binary()), "ids": pa.array([b for _, b in answers], pa.binary())})
+    return run
 
 
 def _assemble(packs: pa.Table, answers: pa.Table) -> pa.Table:
-    import zstandard
-
-    plain = lambda x, kind: np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
     found = []
     told = answers.sort_by("home")
     row = packs.to_pylist()[0] if packs.num_rows else None
     if row is not None:
-        sizes_of, flat = (np.concatenate([np.zeros(0, "<u4"), *[plain(x, "<u4") for x in told.column(c).to_pylist()]]).astype(np.int64) for c in ("sizes", "ids"))
-        order = np.argsort(plain(row["homes"], "<u4"), kind="stable")
-        starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        starts[order], sizes[order] = np.cumsum(sizes_of) - sizes_of, sizes_of
-        number = sum(plain(x, np.uint8).astype(np.int64) << (8 * k) for k, x in enumerate(row["codes"]))
+        sizes = np.concatenate([np.zeros(0, "<u4"), *map(_from_planes, told.column("sizes").to_pylist())]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, "<u4"), *map(_from_planes, told.column("ids").to_pylist())]).astype(np.int32)
+        starts = np.cumsum(sizes) - sizes
+        number = _from_planes(row["codes"]).astype(np.int64)
         lengths = np.array(row["lengths"], np.int64)
         ends = np.cumsum(lengths)
         i = 0
         while i < len(lengths):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), side="right")))
             u = number[(ends[i - 1] if i else 0) : ends[j - 1]]
-            out = flat[_gather(starts[u], sizes[u])].astype(np.int32)
+            out = flat[_gather(starts[u], sizes[u])]
             upto = np.concatenate([[0], np.cumsum(sizes[u])])[ends[i:j] - (ends[i - 1] if i else 0)]
             at = np.concatenate([[0], upto]).astype(np.int32)
             found.append(pa.table({"doc_id": pa.array(row["docs"][i:j], pa.int64()), "text_crc32": pa.array(row["crcs"][i:j], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(out))}))
@@ -374,18 +429,19 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         # bucketed by pack, so that packs never travel again; the name goes once it is resolved, the files stay
         rows.mapInArrow(_packs(shares, pack), PACKED).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack").option("path", new_path(spark, "packs")).saveAsTable(table)
     held = spark.table(table)
-    packs, bundles = held.where("share is null"), held.where("share is not null").select("pack", "share", "units")
-    n_packs = held.where("share is null").count()
+    packs, bundles = held.where("share is null"), held.where("share is not null").select("pack", "share", "sizes", "spelt")
+    n_packs = packs.count()
     spark.sql(f"drop table {table}")
 
-    units = bundles.select(F.explode("units").alias("unit")).repartition(shares, "unit").distinct()
+    near = bundles.select("share", "sizes", "spelt").repartition(shares, "share").sortWithinPartitions("share")
+    units = near.mapInArrow(_distinct, "share int, unit string").repartition(shares, "share").distinct()
     with settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": KEYS}):
         known = cut(encode_units(units, model_path), "units")
     rounds = max(1, -(-n_packs // packs_at_once))
-    left = bundles.select(F.col("pack").alias("owner"), "share", "units", F.pmod(F.xxhash64("pack"), F.lit(rounds)).cast("int").alias("round"))
-    right = known.select("unit", "ids", (F.crc32(F.col("unit").cast("binary")) % shares).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    answers = left.groupBy("share", "round").cogroup(right.groupBy("share", "round")).applyInArrow(_answers, "pack long, home int, sizes binary, ids binary")
-    own = packs.select("pack", "docs", "crcs", "lengths", "codes", "homes").groupBy("pack")
+    left = bundles.select(F.col("pack").alias("owner"), "share", "sizes", "spelt", F.pmod(F.xxhash64("pack"), F.lit(rounds)).cast("int").alias("round"))
+    right = known.select("share", "unit", "ids", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    answers = left.groupBy("share", "round").cogroup(right.groupBy("share", "round")).applyInArrow(_answers(model_path), "pack long, home int, sizes binary, ids binary")
+    own = packs.select("pack", "docs", "crcs", "lengths", "codes").groupBy("pack")
     return own.cogroup(answers.groupBy("pack")).applyInArrow(_assemble, "doc_id long, text_crc32 long, ids array<int>")
 
 

@@ -21,12 +21,13 @@ STEP = 1 << 19  # characters counted at once
 
 
 def _letter_codes() -> np.ndarray:
-    """Code of each code point: that of the letter itself, 0 for all that is no letter."""
-    top = 1 << BITS
-    return np.array([c if chr(c).isalpha() else 0 for c in range(top)], np.uint64)
+    """Code of each code point: that of the letter itself, 0 for all that is no letter; letters past BITS bits share codes."""
+    low = (1 << BITS) - 1
+    return np.array([(c if c <= low else (c & low) | 1) if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
 
 
 _codes: list[np.ndarray] = []
+MOST_LANGUAGES = 1000  # more values than that are no languages
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,7 +36,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         _codes.append(_letter_codes())
     joined = "\n\n".join(t.lower().replace("\n", " ") for t in texts) + "\n\n"
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    code = _codes[0][np.minimum(points, (1 << BITS) - 1)]
+    code = _codes[0][points].astype(np.uint64)
     ends = np.nonzero(points == 10)[0][1::2] + 1
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(np.concatenate([[0], ends])))
     blank = code == 0
@@ -93,13 +94,25 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 400, sample: int = 3000) -> DataFrame:
     """lang, gram, rank: the size most frequent grams of each language.
 
-    Learnt from at most sample documents a language, those of the smallest hash of their id (the documented
-    bound); rows with a null text, language or id take no part. Repeated rows count as often as they are chosen.
+    Learnt from the documents of at most sample ids a language, those of the smallest hash (the documented bound);
+    rows with a null text, language or id take no part, and all rows of a chosen id count. More than MOST_LANGUAGES
+    values of lang_col are an error. Only rows whose hash lies under their language's bound are ranked, so no
+    task meets all rows of a language; texts don't travel.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id").distinct()
-    counted = rows.join(chosen, "doc_id", "left_semi").select("text", "lang").mapInArrow(_count_batches, "lang string, gram long, n long")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col}")
+    # about a third more ids than are wanted lie under the bound, were all ids single; if they repeat, all ids do
+    ids = {r["lang"]: r["ids"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.03).alias("ids")).collect()}
+    bounds = docs.sparkSession.createDataFrame([(lang, float(min(1.0, 1.35 * sample / max(n, 1)))) for lang, n in ids.items()], "lang string, bound double")
+    h = F.xxhash64("doc_id")
+    few = rows.select("lang", "doc_id", h.alias("h")).join(F.broadcast(bounds), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound") * (1 << 30)).select("lang", "doc_id", "h").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id")
+    chosen = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("lang", "doc_id")
+    # at most sample ids for each of MOST_LANGUAGES; a broadcast while that is some MB
+    chosen = F.broadcast(chosen) if len(counts) * sample <= 1_000_000 else chosen
+    counted = rows.join(chosen, ["lang", "doc_id"], "left_semi").select("text", "lang").mapInArrow(_count_batches, "lang string, gram long, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return total.withColumn("rank", F.row_number().over(by_rank) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
@@ -145,7 +158,8 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
     lang_pred is the language of the least out-of-place distance over the document's most frequent grams, ties
     to the smaller name; score is 1 less the mean distance a gram over the largest possible. A null text, one
     without a letter, or an empty table of profiles gives 'und' and 0. Rows are independent: repeated rows
-    repeat their result, null ids pass through. profiles holds size rows a language and is collected.
+    repeat their result, null ids pass through. profiles holds size rows for each of a
+    bounded number of languages and is collected. id_col must cast to long.
     """
     learnt: dict[str, dict[int, int]] = {}
     for row in profiles.collect():

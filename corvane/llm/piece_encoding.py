@@ -39,6 +39,7 @@ SHARE = 1 << 21  # characters of text for each share of the units, up to MOST_SH
 MOST_SHARES = 20_000
 PACKS_AT_ONCE = 1 << 12  # packs whose bundles of a share meet its units in one group
 FRESH = 1 << 19  # units of a share's bundles that are made distinct at once before they travel
+LEVEL = 6  # of compression for what travels
 KEYS = 1 << 15  # units that a task of the lattice groups in memory; beyond them it sorts
 UNIT = re.compile(rf"{SPACE}*(?:[{LETTERS}]+|[^{LETTERS}{SPACE}\n]+)|{SPACE}+|\n+")
 Bytes = dict[int, bytes]
@@ -92,7 +93,7 @@ def piece_table(spark: SparkSession, pieces) -> DataFrame:
     return spark.createDataFrame([(i, p, s, order[s], p in risky) for i, p, s in pieces], "id int, piece string, score double, rank int, risky boolean")
 
 
-PACKED = "pack long, share int, docs array<bigint>, crcs array<bigint>, lengths array<int>, codes binary, sizes binary, spelt binary"
+PACKED = "pack long, share int, docs array<bigint>, crcs array<bigint>, lengths array<int>, codes binary, places binary, sizes binary, spelt binary"
 
 
 class _Numbers(dict):
@@ -117,10 +118,10 @@ def _units(chunk: str) -> list[str]:
     return [chunk[1:]] if chunk[:1] == "\x01" else UNIT.findall(chunk if chunk[:1] == "\n" else SPACE + chunk)
 
 
-def _squeezed(x: np.ndarray) -> bytes:
+def _squeezed(x: np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(x.tobytes())
 
 
 def _plain(x: bytes, kind: str) -> np.ndarray:
@@ -129,9 +130,9 @@ def _plain(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _planes(x: np.ndarray) -> bytes:
+def _planes(x: np.ndarray, level: int = 1) -> bytes:
     """Unsigned 32-bit numbers, their bytes apart: upper ones are mostly zero."""
-    return _squeezed(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+    return _squeezed(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T), level)
 
 
 def _from_planes(x: bytes) -> np.ndarray:
@@ -140,13 +141,19 @@ def _from_planes(x: bytes) -> np.ndarray:
 
 def _strings(sizes: bytes, spelt: bytes) -> pa.Array:
     """The units of a bundle from their lengths in bytes and their bytes."""
-    ends = np.cumsum(_plain(sizes, "<u4"), dtype=np.int64)
+    ends = np.cumsum(_from_planes(sizes), dtype=np.int64)
     return pa.StringArray.from_buffers(len(ends), pa.py_buffer(np.append(0, ends).astype("<i4").tobytes()), pa.py_buffer(_plain(spelt, np.uint8)))
 
 
+def _spelt(units: pa.Array, first: np.ndarray, last: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Lengths and bytes of the units in each of the ranges [first, last)."""
+    bounds, letters = np.frombuffer(units.buffers()[1], "<i4", len(units) + 1, 4 * units.offset), np.frombuffer(units.buffers()[2] or b"", np.uint8)
+    return [_planes(np.diff(bounds[i : j + 1]), LEVEL) for i, j in zip(first, last, strict=True)], [_squeezed(letters[bounds[i] : bounds[j]], LEVEL) for i, j in zip(first, last, strict=True)]
+
+
 def _packs(shares: int, most: int):
     names = [c.split(" ")[0] for c in PACKED.split(", ")]
-    kinds = {"pack": pa.int64(), "share": pa.int32(), "docs": pa.list_(pa.int64()), "crcs": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "codes": pa.binary(), "sizes": pa.binary(), "spelt": pa.binary()}
+    kinds = {"pack": pa.int64(), "share": pa.int32(), "docs": pa.list_(pa.int64()), "crcs": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "codes": pa.binary(), "places": pa.binary(), "sizes": pa.binary(), "spelt": pa.binary()}
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(columns["pack"])
@@ -163,23 +170,23 @@ def _packs(shares: int, most: int):
         code = flat[_gather((np.cumsum(sizes) - sizes)[seen], sizes[seen])]
         ends = np.concatenate([[0], np.cumsum(sizes[seen])])[np.cumsum([len(x) for x in body])]
         lengths = np.diff(np.concatenate([[0], ends]))
-        # a unit's place is by share and spelling; alike neighbours are squeezed well
-        spelt = pa.array(list(units), pa.string())
-        home = np.array([zlib.crc32(u.encode()) % shares for u in units], np.int32)
+        # frequent units get small codes, and others follow as they come, so that upper bytes say little
+        order = np.argsort(-np.bincount(code, minlength=len(units)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        code = rank[code] if len(code) else np.zeros(0, np.uint32)
+        # a unit's place is by share and spelling: alike neighbours are squeezed well
+        spelt = list(units)
+        spelt = pa.array([spelt[k] for k in order], pa.string())
+        home = np.array([zlib.crc32(u.encode()) % shares for u in spelt.to_pylist()], np.int32)
         order = pc.sort_indices(pa.table({"home": home, "spelt": spelt}), [("home", "ascending"), ("spelt", "ascending")])
         place = np.empty(len(order), np.uint32)
         place[order.to_numpy()] = np.arange(len(order), dtype=np.uint32)
-        code = place[code] if len(code) else np.zeros(0, np.uint32)
-        yield rows(pack=[number], docs=[docs], crcs=[crcs], lengths=[lengths], codes=[_planes(code)])
+        yield rows(pack=[number], docs=[docs], crcs=[crcs], lengths=[lengths], codes=[_planes(code)], places=[_planes(place)])
         spelt, home = spelt.take(order), home[order.to_numpy()]
         own, first = np.unique(home, return_index=True)
-        bounds, letters = np.frombuffer(spelt.buffers()[1], "<i4", len(spelt) + 1), np.frombuffer(spelt.buffers()[2] or b"", np.uint8)
-        last = np.append(first[1:], len(home))
-        yield rows(
-            pack=[number] * len(own), share=own.tolist(),
-            sizes=[_squeezed(np.diff(bounds[i : j + 1]).astype("<u4")) for i, j in zip(first, last, strict=True)],
-            spelt=[_squeezed(letters[bounds[i] : bounds[j]]) for i, j in zip(first, last, strict=True)],
-        )
+        sizes, letters = _spelt(spelt, first, np.append(first[1:], len(home)))
+        yield rows(pack=[number] * len(own), share=own.tolist(), sizes=sizes, spelt=letters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -362,12 +369,27 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(share, held)
 
 
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(share, unit, ids) as bundles of the units of a share: their spelling, numbers of ids, and ids."""
+    for batch in batches:
+        batch = batch.sort_by([("share", "ascending"), ("unit", "ascending")])
+        own, first = np.unique(batch.column("share").to_numpy(), return_index=True)
+        last = np.append(first[1:], batch.num_rows)
+        sizes, spelt = _spelt(batch.column("unit"), first, last)
+        ids = batch.column("ids")
+        at, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+        counts = [_planes(np.diff(at[i : j + 1]), LEVEL) for i, j in zip(first, last, strict=True)]
+        told = [_planes(flat[at[i] : at[j]], LEVEL) for i, j in zip(first, last, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *[pa.array(x, pa.binary()) for x in (sizes, spelt, counts, told)]], ["share", "sizes", "spelt", "counts", "ids"])
+
+
 def _answers(model_path: str):
     def run(bundles: pa.Table, known: pa.Table) -> pa.Table:
         """For each bundle of a share the numbers of ids of its units, and the ids."""
-        names, ids = (known.column(c).combine_chunks() for c in ("unit", "ids"))
-        offsets, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
-        starts, sizes = offsets[:-1], np.diff(offsets)
+        names = pa.concat_arrays([pa.array([], pa.string()), *[_strings(a.as_py(), b.as_py()) for a, b in zip(known.column("sizes"), known.column("spelt"), strict=True)]])
+        sizes, flat = (np.concatenate([np.zeros(0, "<u4"), *map(_from_planes, known.column(c).to_pylist())]) for c in ("counts", "ids"))
+        sizes, flat = sizes.astype(np.int64), flat.astype(np.int32)
+        starts = np.cumsum(sizes) - sizes
         answers = []
         for spelt_sizes, spelt in zip(bundles.column("sizes"), bundles.column("spelt"), strict=True):
             units = _strings(spelt_sizes.as_py(), spelt.as_py())
@@ -385,7 +407,7 @@ def _answers(model_path: str):
                 own = np.concatenate(parts)
             else:
                 own_sizes, own = sizes[at], flat[_gather(starts[at], sizes[at])]
-            answers.append((_planes(own_sizes), _planes(own)))
+            answers.append((_planes(own_sizes, LEVEL), _planes(own, LEVEL)))
         return pa.table({"pack": bundles.column("owner"), "home": bundles.column("share"), "sizes": pa.array([a for a, _ in answers], pa.binary()), "ids": pa.array([b for _, b in answers], pa.binary())})
 
     return run
@@ -399,7 +421,7 @@ def _assemble(packs: pa.Table, answers: pa.Table) -> pa.Table:
         sizes = np.concatenate([np.zeros(0, "<u4"), *map(_from_planes, told.column("sizes").to_pylist())]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, "<u4"), *map(_from_planes, told.column("ids").to_pylist())]).astype(np.int32)
         starts = np.cumsum(sizes) - sizes
-        number = _from_planes(row["codes"]).astype(np.int64)
+        number = _from_planes(row["places"]).astype(np.int64)[_from_planes(row["codes"])]
         lengths = np.array(row["lengths"], np.int64)
         ends = np.cumsum(lengths)
         i = 0
@@ -436,12 +458,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     near = bundles.select("share", "sizes", "spelt").repartition(shares, "share").sortWithinPartitions("share")
     units = near.mapInArrow(_distinct, "share int, unit string").repartition(shares, "share").distinct()
     with settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": KEYS}):
-        known = cut(encode_units(units, model_path), "units")
+        known = cut(encode_units(units, model_path).select("share", "unit", "ids").mapInArrow(_bundled, "share int, sizes binary, spelt binary, counts binary, ids binary"), "units")
     rounds = max(1, -(-n_packs // packs_at_once))
     left = bundles.select(F.col("pack").alias("owner"), "share", "sizes", "spelt", F.pmod(F.xxhash64("pack"), F.lit(rounds)).cast("int").alias("round"))
-    right = known.select("share", "unit", "ids", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    right = known.select("share", "sizes", "spelt", "counts", "ids", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
     answers = left.groupBy("share", "round").cogroup(right.groupBy("share", "round")).applyInArrow(_answers(model_path), "pack long, home int, sizes binary, ids binary")
-    own = packs.select("pack", "docs", "crcs", "lengths", "codes").groupBy("pack")
+    own = packs.select("pack", "docs", "crcs", "lengths", "codes", "places").groupBy("pack")
     return own.cogroup(answers.groupBy("pack")).applyInArrow(_assemble, "doc_id long, text_crc32 long, ids array<int>")
 
 

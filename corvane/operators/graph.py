@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_own: list[str] = []
 
-def _cut(df: DataFrame) -> DataFrame:
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the folder that spark.checkpoint.dir names and read back.
+
+    Where that is unset, a session whose driver does all the work gets a temporary folder; on a cluster it is an error.
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="corvane-"))
+        folder = _own[0]
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -20,13 +33,13 @@ def _cut(df: DataFrame) -> DataFrame:
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """node, root: the smallest node reached. Labels spread by minimum, two hops a round, until none changes."""
     edges = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    edges = _cut(edges.union(edges.select("b", "a")).distinct())
-    roots = _cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    edges = cut(edges.union(edges.select("b", "a")).distinct())
+    roots = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
         spread = edges.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         step = roots.join(spread, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"))
         jump = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        new = _cut(step.join(jump, F.col("root") == F.col("n2"), "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root")))
+        new = cut(step.join(jump, F.col("root") == F.col("n2"), "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root")))
         moved = new.join(roots.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
         roots = new
         if not moved:

@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from corvane.functions.keys import order_key
 from corvane.functions.scalar import ratio
-from corvane.operators.ranks import ranked
+from corvane.operators.ranks import ranked, sums_before
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None, name: str = "auc") -> DataFrame:
     """Tie-aware ROC AUC for each value of by; null where a class is absent.
 
-    Rows are first summed by score, so the ordered pass holds a row for each distinct score.
+    Rows are first summed by score; sums of smaller scores come from ranges of them, so no task orders all scores.
     """
     by = by or []
     held = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     ties = held.groupBy(*by, F.col(score).alias("_s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) != 1).cast("long")).alias("_q"))
-    below = F.coalesce(F.sum("_q").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = ties.withColumn("_w", F.col("_p") * (below + F.col("_q") / F.lit(2.0)))
+    wins = sums_before(ties, "_s", ["_q"], by).withColumn("_w", F.col("_p") * (F.col("before__q") + F.col("_q") / F.lit(2.0)))
     return wins.groupBy(*by).agg(F.sum(F.col("_p") + F.col("_q")).alias("n"), ratio(F.sum("_w"), F.sum("_p").cast("double") * F.sum("_q").cast("double")).alias(name))
 
 
@@ -63,10 +62,8 @@ def late_fusion(df: DataFrame, sample: str, present: str, weight: str, logit: st
 def placements(df: DataFrame, score: str, label: str, name: str) -> DataFrame:
     """score, label, name: the share of the other class that a row of that score and class beats, ties as one half."""
     ties = df.groupBy(F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
-    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ties.crossJoin(F.broadcast(ties.agg(F.sum("_p").alias("_np"), F.sum("_q").alias("_nq"))))
-    below = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    both = sums.select("_s", ratio(below("_q") + F.col("_q") / 2, F.col("_nq")).alias("_up"), ratio(F.col("_np") - below("_p") - F.col("_p") / 2, F.col("_np")).alias("_down"))
+    sums = sums_before(ties, "_s", ["_p", "_q"]).crossJoin(F.broadcast(ties.agg(F.sum("_p").alias("_np"), F.sum("_q").alias("_nq"))))
+    both = sums.select("_s", ratio(F.col("before__q") + F.col("_q") / 2, F.col("_nq")).alias("_up"), ratio(F.col("_np") - F.col("before__p") - F.col("_p") / 2, F.col("_np")).alias("_down"))
     return both.select(F.col("_s").alias(score), F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("_up").alias("v")), F.struct(F.lit(0).alias("y"), F.col("_down").alias("v")))).alias("x")).select(score, F.col("x.y").alias(label), F.col("x.v").alias(name))
 
 
@@ -85,7 +82,7 @@ def delong(df: DataFrame, label: str, a: str, b: str) -> DataFrame:
 
 
 def bootstrap_auc_delta(df: DataFrame, group: str, label: str, a: str, b: str, replicates: int, seed: int) -> DataFrame:
-    """replicate, delta: AUC of a less AUC of b where whole groups are drawn with replacement; one-class draws go.
+    """replicate, auc_a, auc_b, delta: AUC of a less AUC of b where whole groups are drawn with replacement; one-class draws go.
 
     A draw is a hash of seed, replicate and number, modulo the number of groups; a group counts as often as it was
     drawn. Groups are ranked by hash; rows meet their replicates' weights by an equi-join on the group.
@@ -101,4 +98,4 @@ def bootstrap_auc_delta(df: DataFrame, group: str, label: str, a: str, b: str, r
     won = ties.withColumn("_won", F.col("_p") * (below + F.col("_q") / F.lit(2.0)))
     aucs = won.groupBy("replicate", "_m").agg(ratio(F.sum("_won"), F.sum("_p").cast("double") * F.sum("_q").cast("double")).alias("auc"))
     sides = aucs.groupBy("replicate").agg(F.max(F.when(F.col("_m") == "a", F.col("auc"))).alias("auc_a"), F.max(F.when(F.col("_m") == "b", F.col("auc"))).alias("auc_b"))
-    return sides.select("replicate", (F.col("auc_a") - F.col("auc_b")).alias("delta")).where("delta is not null")
+    return sides.select("replicate", "auc_a", "auc_b", (F.col("auc_a") - F.col("auc_b")).alias("delta")).where("delta is not null")

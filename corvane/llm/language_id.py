@@ -147,7 +147,8 @@ def _predictor(profiles: dict[str, dict[int, int]], size: int, most: int):
                 for d in np.nonzero(has)[0]:
                     pred[i + d] = langs[best[d]]
                 score[i:j] = np.where(has, np.clip(near, 0, 1), 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(pred, pa.string()), pa.array(score)], [*rest, "lang_pred", "score"])
 
     return predict
 
@@ -161,8 +162,24 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
     repeat their result, null ids pass through. profiles holds size rows for each of a
     bounded number of languages and is collected. id_col must cast to long.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_predictor(_collected(profiles), size, most), "doc_id long, lang_pred string, score double")
+
+
+def _collected(profiles: DataFrame) -> dict[str, dict[int, int]]:
     learnt: dict[str, dict[int, int]] = {}
     for row in profiles.collect():
         learnt.setdefault(row["lang"], {})[row["gram"]] = row["rank"]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predictor(learnt, size, most), "doc_id long, lang_pred string, score double")
+    return learnt
+
+
+def known_languages(docs: DataFrame, profiles: DataFrame, text_col: str = "text", least_score: float = 0.0, size: int = 400, most: int = 300) -> DataFrame:
+    """The rows of docs, with all their columns, whose own text is in one of the languages with at least least_score.
+
+    Every row is judged by itself: ids are not read, so repeated and null ids are no matter.
+    """
+    names = {f"_c{k}": c for k, c in enumerate(docs.columns)}
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()], F.col(f"`{text_col}`").alias("text"))
+    schema = ", ".join(f"{n} {held.schema[n].dataType.simpleString()}" for n in names)
+    judged = held.mapInArrow(_predictor(_collected(profiles), size, most), f"{schema}, lang_pred string, score double")
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*[F.col(n).alias(c) for n, c in names.items()])

@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs without ASCII white space, A-Z in lower case). component_id is the smallest id that links reach, kept is
     true for it alone. Null and blank texts have no shingles and link with nothing; texts below width words are
     one shingle. Rows that repeat an id share its component. A row without an id is its own component (null) and
-    kept. Other columns of docs are ignored. A pair at the threshold meets in some band with probability
+    kept. Other columns of docs are ignored; id_col must cast to long. A pair at the threshold meets in some band with probability
     1 - (1 - s^rows)^bands: with 25 bands of 5, 0.9999996 at 0.85 and 0.99995 at 0.8.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -249,8 +249,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id represents its component, with all their columns; of rows that repeat an id, all."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def one_of_each(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns; rows without shingles all stay.
+
+    Rows are numbered first (in a written table, so that numbers hold), and groups are of rows: ids are not read,
+    so equal rows are one group whatever their ids, and rows that share an id with other texts are judged alone.
+    """
+    names = {f"_c{k}": c for k, c in enumerate(docs.columns)}
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`").alias(n) for n, c in names.items()]), "numbered")
+    text = next(n for n, c in names.items() if c == text_col)
+    gone = near_duplicates(numbered, "_row", text, **options).where("not kept").select(F.col("doc_id").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*[F.col(n).alias(c) for n, c in names.items()])

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.storage import cut, new_path, settings
+from corvane.llm.storage import bucketed, settings
 
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ɏ"
@@ -165,10 +165,14 @@ def _packs(shares: int, most: int):
             own = _units(c)
             sizes.append(len(own))
             flat.extend(map(units.__getitem__, own))
-        sizes, flat = np.array(sizes), np.array(flat)
-        seen = np.concatenate(body) if body else np.zeros(0, np.int32)
+        sizes, flat = np.array(sizes), np.array(flat, np.int32)
+        seen, held = (np.concatenate(body) if body else np.zeros(0, np.int32)), np.cumsum([len(x) for x in body])
+        # their memory is wanted for what follows
+        chunks.clear()
+        body.clear()
         code = flat[_gather((np.cumsum(sizes) - sizes)[seen], sizes[seen])]
-        ends = np.concatenate([[0], np.cumsum(sizes[seen])])[np.cumsum([len(x) for x in body])]
+        ends = np.concatenate([[0], np.cumsum(sizes[seen])])[held]
+        del flat, seen
         lengths = np.diff(np.concatenate([[0], ends]))
         # frequent units get small codes, and others follow as they come, so that upper bytes say little
         order = np.argsort(-np.bincount(code, minlength=len(units)), kind="stable")
@@ -446,23 +450,20 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     shares = min(max(-(-chars // share), spark.sparkContext.defaultParallelism), MOST_SHARES)
-    table = "packs_" + new_path(spark, "p").rsplit("-", 1)[1]
     with settings(spark, BATCHES):
-        # bucketed by pack, so that packs never travel again; the name goes once it is resolved, the files stay
-        rows.mapInArrow(_packs(shares, pack), PACKED).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack").option("path", new_path(spark, "packs")).saveAsTable(table)
-    held = spark.table(table)
+        held = bucketed(rows.mapInArrow(_packs(shares, pack), PACKED), "pack", "packs")
     packs, bundles = held.where("share is null"), held.where("share is not null").select("pack", "share", "sizes", "spelt")
     n_packs = packs.count()
-    spark.sql(f"drop table {table}")
 
     near = bundles.select("share", "sizes", "spelt").repartition(shares, "share").sortWithinPartitions("share")
     units = near.mapInArrow(_distinct, "share int, unit string").repartition(shares, "share").distinct()
     with settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": KEYS}):
-        known = cut(encode_units(units, model_path).select("share", "unit", "ids").mapInArrow(_bundled, "share int, sizes binary, spelt binary, counts binary, ids binary"), "units")
-    rounds = max(1, -(-n_packs // packs_at_once))
-    left = bundles.select(F.col("pack").alias("owner"), "share", "sizes", "spelt", F.pmod(F.xxhash64("pack"), F.lit(rounds)).cast("int").alias("round"))
-    right = known.select("share", "sizes", "spelt", "counts", "ids", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    answers = left.groupBy("share", "round").cogroup(right.groupBy("share", "round")).applyInArrow(_answers(model_path), "pack long, home int, sizes binary, ids binary")
+        known = bucketed(encode_units(units, model_path).select("share", "unit", "ids").mapInArrow(_bundled, "share int, sizes binary, spelt binary, counts binary, ids binary"), "share", "units")
+    left, right, keys = bundles.withColumnRenamed("pack", "owner"), known, ["share"]
+    rounds = -(-n_packs // packs_at_once)
+    if rounds > 1:  # more bundles of a share than one group should hold
+        left, right, keys = left.withColumn("round", F.pmod(F.xxhash64("owner"), F.lit(rounds))), right.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long")))), ["share", "round"]
+    answers = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_answers(model_path), "pack long, home int, sizes binary, ids binary")
     own = packs.select("pack", "docs", "crcs", "lengths", "codes", "places").groupBy("pack")
     return own.cogroup(answers.groupBy("pack")).applyInArrow(_assemble, "doc_id long, text_crc32 long, ids array<int>")
 

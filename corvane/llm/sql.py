@@ -1,5 +1,61 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from corvane.llm import secret_scan
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _kind(at: int, kind: str, regex: str, group: int, least: int) -> str:
+    """Spans of one kind: starts are sums of the lengths of what stands before a match."""
+    r = _quoted(regex.replace(r"[^\s", r"[^\x20\t-\r"))
+    return (
+        f"select doc_id, {at} as rank, '{kind}' as kind, s as start, s + length(hits[i]) as stop from (select doc_id, i, hits, keys, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) as s"
+        f" from (select doc_id, string_split_regex(text, {r}) as gaps, regexp_extract_all(text, {r}, 0) as hits, regexp_extract_all(text, {r}, {group}) as keys, unnest(range(1, len(regexp_extract_all(text, {r}, 0)) + 1)) as i from docs) a) b where length(keys[i]) >= {least}"
+    )
+
+
+def _secrets() -> str:
+    rules = [(k, r"([0-9a-f]{32,})" if k == "hex" else r, g, n) for k, r, g, n in secret_scan.BASE] + [(k, r, g, n) for k, _, r, g, n in secret_scan.EXTRA]
+    spans = " union all ".join(_kind(at, *rule) for at, rule in enumerate(rules))
+    spelt = lambda where: f"coalesce(string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, rank) filter ({where}), '')"
+    counts = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k, *_ in secret_scan.BASE)
+    return (
+        f"with docs as (select doc_id, coalesce(text, '') as text from documents), spans as ({spans})"
+        f" select d.doc_id, {counts}, sha256({spelt(f'rank < {len(secret_scan.BASE)}')}) as base_sha256, {spelt('kind is not null')} as spans from docs d left join spans s on d.doc_id = s.doc_id group by d.doc_id"
+    )
+
+
+def _near_duplicates(width: int, percent: int) -> str:
+    """All pairs that share a shingle, counted; then reachability."""
+    run = " || chr(10) || ".join(f"words[i + {k}]" for k in range(width))
+    return f"""with recursive worded as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') as words from documents),
+sets as (select doc_id, case when len(words) >= {width} then list_distinct(list_transform(range(1, len(words) - {width} + 2), lambda i: {run})) when len(words) > 0 then [array_to_string(words, chr(10))] else [] end as shingles from worded),
+sizes as (select doc_id, len(shingles) as n from sets),
+each as (select doc_id, unnest(shingles) as shingle from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as common from each a join each b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from shared join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * common >= {percent} * (x.n + y.n - common)),
+ways as (select a, b from links union select b, a from links),
+reach as (select doc_id as a, doc_id as b from sizes union select r.a, w.b from reach r join ways w on r.b = w.a)
+select s.doc_id, s.n as n_shingles, min(r.b) as component_id, s.doc_id = min(r.b) as kept from sizes s join reach r on s.doc_id = r.a group by s.doc_id, s.n"""
+
+
+def _nearest(k: int, every: int) -> str:
+    """Brute force in double precision, a dimension after another."""
+    product = "list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))"
+    usable = "embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
+    return (
+        f"with points as (select distinct vec_id, embedding::double[] as v from embeddings where {usable}),"
+        f" scored as (select q.vec_id as query_id, c.vec_id as vec_id, {product} as score from points q join points c on q.vec_id <> c.vec_id where q.vec_id % {every} = 0)"
+        f" select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) t where rank <= {k}"
+    )
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_secret_scans": _secrets(), "op9_nearest_vectors": _nearest(20, 20), "op10_minhash_dedup": _near_duplicates(3, 85)}

@@ -40,6 +40,18 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """df, written in buckets of key, as many as a shuffle has partitions, and read back: later groupings by key don't move it.
+
+    The catalogue's name for it goes once it is resolved; the files stay in the shared folder.
+    """
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", new_path(spark, label)).saveAsTable(name)
+    held = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return held
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict) -> Iterator[None]:
     """The session has these settings inside, for work that is done there, and its own again afterwards."""

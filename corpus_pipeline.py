@@ -17,30 +17,45 @@ LEAST_LANGUAGE_SCORE = 0.05
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learnt languages; profiles are learnt from the stage's own input."""
-    found = language_id.identify(docs, language_id.learn_profiles(docs))
-    bad = found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text is in one of the learnt languages; profiles are learnt from the stage's own input.
+
+    Rows go if their text is null, empty or without a letter, or lies too far from every profile. Each is judged by
+    itself: repeated rows share their fate, and a null or repeated id, or a column of any other name, is no matter.
+    An empty table stays empty.
+    """
+    profiles = language_id.learn_profiles(docs)
+    return language_id.known_languages(docs, profiles, least_score=LEAST_LANGUAGE_SCORE)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
-    return minhash_dedup.one_of_each(docs).select(*docs.columns)
+    """One row of each group of near duplicates (five-word shingles, similarity of 0.8 or more).
+
+    Rows without words are in no group and stay. Of equal rows one stays, whatever their ids. An empty table stays empty.
+    """
+    return minhash_dedup.one_of_each(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; no document goes."""
+    """Secrets are replaced by their kind, and n_chars follows; no row goes.
+
+    Null texts stay null and keep their n_chars, texts without a secret stay as they are; ids are not read, and
+    equal texts are scanned once. An empty table stays empty.
+    """
     hidden = secret_scan.redacted(docs)
-    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return hidden.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's budget reads them."""
-    return source_mixing.mixed(docs).select(*docs.columns)
+    """Rows as often as their source's budget reads them (all tokens once, at most four readings of a row).
+
+    Rows without words stay once. A null source is a source; equal rows are read as often as they are given, and
+    null or repeated ids neither multiply nor lose rows. An empty table stays empty.
+    """
+    return source_mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and piece ids of every document."""
+    """doc_id, n_pieces and ids of every row; a null or empty text has no ids, null ids pass through, repeated rows repeat."""
     return piece_encoding.encode(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 

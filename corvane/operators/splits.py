@@ -117,3 +117,46 @@ def sample_per(df: DataFrame, by: list[str], key: str, n: int, seed: int) -> Dat
 def overlapping_groups(df: DataFrame, group: str, split: str) -> DataFrame:
     """group, splits: groups with rows in more than one split; empty for a sound protocol."""
     return df.groupBy(group).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
+
+
+def row_holdout(df: DataFrame, key: str, seed: int, fraction: float, name: str = "split") -> DataFrame:
+    """Adds train / val: the last max(1, floor(n * fraction)) rows by hash validate, whatever their labels."""
+    rows = ranked(df.withColumn("_k", order_key(seed, key)), "_k", tie=key)
+    return rows.withColumn(name, F.when(F.col("rank") >= F.col("total") - _held(fraction), "val").otherwise("train")).drop("_k", "rank", "total")
+
+
+def patient_folds(df: DataFrame, group: str, label: str, n: int, seed: int, fold: int) -> DataFrame:
+    """Adds fold (0 to n - 1, by groups, stratified by a group's largest label) and split for fold: that fold tests, the next one (in a circle) validates."""
+    tops = df.groupBy(group).agg(F.max(label).alias("_top"))
+    placed = ranked(tops.withColumn("_k", order_key(seed, group)), "_k", ["_top"], group).select(F.col(group).alias("_g"), (F.col("rank") % n).cast("int").alias("fold"))
+    split = F.when(F.col("fold") == fold % n, "test").when(F.col("fold") == (fold + 1) % n, "val").otherwise("train")
+    return df.join(placed, df[group].eqNullSafe(F.col("_g"))).drop("_g").withColumn("split", split)
+
+
+def out_of_distribution(df: DataFrame, source: str, held: list, group: str, label: str, order: str, k: int, seed: int) -> DataFrame:
+    """Adds part: ood for rows of the held sources, else the fold (1 to k) of their group; null sources are not held."""
+    out = F.coalesce(F.col(source).isin(held), F.lit(False))
+    rest = group_folds(df.where(~out), group, label, order, k, seed, "_fold").withColumn("part", F.col("_fold").cast("string")).drop("_fold")
+    return rest.unionByName(df.where(out).withColumn("part", F.lit("ood")))
+
+
+def held_fraction(fraction: float, source_is_small: bool, least: float = 0.2) -> float:
+    """The hold-out's share: at least least where a source is small."""
+    return max(fraction, least) if source_is_small else fraction
+
+
+def fold_of_source(df: DataFrame, source: str, plans: dict[str, tuple[str, dict]]) -> DataFrame:
+    """Each source under the split protocol that plans names for it, with its arguments; sources without a plan go.
+
+    Protocols: group_kfold, official_kfold, fixed_test_kfold, group_holdout, stratified_holdout, row_holdout.
+    """
+    known = {f.__name__: f for f in (group_kfold, official_kfold, fixed_test_kfold, group_holdout, stratified_holdout, row_holdout)}
+    parts = []
+    for name, (protocol, arguments) in sorted(plans.items()):
+        if protocol not in known:
+            raise ValueError(f"unknown split protocol {protocol}")
+        parts.append(known[protocol](df.where(F.col(source) == name), **arguments))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

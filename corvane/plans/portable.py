@@ -56,7 +56,6 @@ TEXT = {
     "most_confident_error": "select source, max(least(n_chars / 4000.0, 1.0)) as confidence from {documents} d join {labels} l on d.doc_id = l.doc_id where quality = 0 group by source",
     "curve_washout": "select l_orderkey, max(l_extendedprice) as peak, min(case when rn = 1 then l_extendedprice end) as first_v, min(case when rn = n then l_extendedprice end) as last_v from (select l_orderkey, l_extendedprice, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rn, count(*) over (partition by l_orderkey) as n from {lineitem}) t group by l_orderkey having count(*) >= 2",
     "side_agreement": "select round(avg(case when same then 1.0 else 0.0 end), 9) as share from (select l_linestatus = 'O' and o_orderstatus <> 'F' or l_linestatus = 'F' and o_orderstatus <> 'O' as same from {lineitem} join {orders} on l_orderkey = o_orderkey) t",
-    "resolve_labels": "select o_custkey, case when count(distinct o_orderstatus) = 1 then 'uniform' when max(per_side) = 1 then 'by_side' else 'ambiguous' end as method from (select o_custkey, o_orderpriority, o_orderstatus, count(*) over (partition by o_custkey, o_orderpriority) as per_side from {orders}) t group by o_custkey",
     # pixels: an embedding is an 8 x 8 image
     "px_quality": "select vec_id, round(avg(v), 6) as brightness, round(stddev_samp(v), 6) as contrast, round(min(v), 6) as low, round(max(v), 6) as high, round(max(v) - min(v), 6) as spread from {GRID} group by vec_id",
     "px_entropy": "select vec_id, round(-sum(p * ln(p) / ln(2.0)), 6) as entropy from (select vec_id, n / 64.0 as p from (select vec_id, b, count(*) as n from (select vec_id, floor((v + 1.0) * 16.0) as b from {GRID}) a group by vec_id, b) c) d group by vec_id",
@@ -91,7 +90,7 @@ TEXT = {
     "px_ring_contrast": "select vec_id, round(abs(avg(case when m = 1 then v end) - avg(case when m = 0 then v end)) / nullif(stddev_pop(case when m = 0 then v end), 0), 5) as cnr from (select vec_id, v, case when v > 0.15 then 1 else 0 end as m, greatest(coalesce(lag(v) over (partition by vec_id, y order by x), -9.0), coalesce(lead(v) over (partition by vec_id, y order by x), -9.0), coalesce(lag(v) over (partition by vec_id, x order by y), -9.0), coalesce(lead(v) over (partition by vec_id, x order by y), -9.0)) as top from {GRID}) t where m = 1 or top > 0.15 group by vec_id",
     "px_kinetic_curve": "select vec_id, phase, round(avg(v), 6) as mean_v, round(max(v), 6) as peak from (select vec_id, y % 4 as phase, v from {GRID} where x between 2 and 5) t group by vec_id, phase",
     "px_volume_stats": "select label, count(*) as voxels, count(distinct vec_id) as slices, min(x) as x0, max(x) as x1, round(avg(x), 6) as cx, round(avg(y), 6) as cy, round(count(*) * 0.008, 6) as ml from {GRID} where v > 0.15 group by label",
-    "px_ssim_global": "select vec_id, round((2 * ma * mb + 0.0001) * (2 * cov + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)), 6) as ssim from (select a.vec_id, avg(a.v) as ma, avg(b.v) as mb, var_pop(a.v) as va, var_pop(b.v) as vb, covar_pop(a.v, b.v) as cov from {GRID} a join {GRID} b on b.vec_id = a.vec_id + 1 and b.i = a.i where a.vec_id % 2 = 0 group by a.vec_id) t",
+    "px_ssim_global": "select vec_id, round((2 * ma * mb + 0.0001) * (2 * cov + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)), 6) as ssim from (select a.vec_id, avg(a.v) as ma, avg(b.v) as mb, var_pop(a.v) as va, var_pop(b.v) as vb, covar_pop(a.v, b.v) as cov from {GRID} a join {GRID} b on b.vec_id = a.vec_id + 1 and b.i = a.i group by a.vec_id) t",
     "px_slice_choice": "select vec_id, y from (select vec_id, y, row_number() over (partition by vec_id order by y) - 1 as r, count(*) over (partition by vec_id) as n from (select vec_id, y from {GRID} where v > 0.0 group by vec_id, y having count(*) >= 4) a) b where abs(r - floor(n / 2)) <= 1",
 }
 EPOCH = {"spark": "cast(unix_micros(lead(cast(ts as timestamp)) over (partition by user_id order by ts, event_id)) - unix_micros(cast(ts as timestamp)) as bigint)", "duck": "epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts)"}

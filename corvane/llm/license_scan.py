@@ -3,7 +3,8 @@
 A document's words are joined by single blanks, so rules are short regexes over normalised text. It reaches the
 rules only if that text holds a gate, and each rule runs only if its keyword occurs; every match of a rule holds
 its keyword and at least one gate. Detections are word intervals.
-An interval inside another one is suppressed; of equal intervals the rule of the best priority stays.
+An interval inside another one is suppressed; of equal intervals, and of two that overlap in part, the rule of the
+best priority stays.
 """
 
 from __future__ import annotations
@@ -128,6 +129,132 @@ SENTENCES = (
     ("ofl-1.1", "font", r"this font software is licen[sc]ed under the sil open font licen[sc]e"),
 )
 
+# Notices, headers and clauses by which projects name or repeat their license, as they are written.
+NOTICES = (
+    ("mit", "mit", r"this project is licen[sc]ed under the mit licen[sc]e"),
+    ("mit", "mit", r"this software is released under the mit licen[sc]e"),
+    ("mit", "mit", r"mit licen[sc]e copyright c"),
+    ("mit", "mit", r"dual licen[sc]ed under (the )?mit and gpl"),
+    ("mit", "expat", r"(the )?expat licen[sc]e"),
+    ("mit", "sublicense", r"use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit-0", "attribution", r"the mit no attribution licen[sc]e mit 0"),
+    ("isc", "isc", r"licen[sc]ed under (the )?isc licen[sc]e terms"),
+    ("isc", "fee", r"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("apache-2.0", "apache", r"licen[sc]ed under the apache licen[sc]e version 2 0 the license"),
+    ("apache-2.0", "apache", r"apache licen[sc]e version 2 0 january 2004"),
+    ("apache-2.0", "apache", r"http www apache org licenses license 2 0"),
+    ("apache-2.0", "apache", r"licen[sc]ed to the apache software foundation asf"),
+    ("apache-2.0", "contributor", r"see the notice file distributed with this work (.{0,80} )?contributor license"),
+    ("apache-2.0", "perpetual", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2.0", "patent", r"royalty free irrevocable except as stated in this section patent license"),
+    ("apache-2.0", "governing", r"see the license for the specific language governing permissions and limitations"),
+    ("bsd-2-clause", "bsd", r"licen[sc]ed under (the )?(simplified|2 clause) bsd licen[sc]e"),
+    ("bsd-3-clause", "bsd", r"licen[sc]ed under (the )?(new|3 clause) bsd licen[sc]e"),
+    ("bsd-3-clause", "bsd style", r"(use of this source code is )?governed by a bsd style license"),
+    ("bsd-4-clause", "california", r"developed by the university of california (.{0,40} )?advertising clause of the license"),
+    ("bsd", "bsd", r"(the )?bsd licen[sc]e"),
+    ("bsd", "berkeley", r"berkeley software distribution licen[sc]e"),
+    ("bsd-zero-clause", "bsd", r"free public licen[sc]e 1 0 0 bsd zero clause"),
+    ("gpl-2.0", "version 2", r"terms of the gnu general public licen[sc]e version 2 as published by the free software foundation"),
+    ("gpl-2.0-or-later", "later version", r"gnu general public licen[sc]e as published by the free software foundation either version 2 of the licen[sc]e or at your option any later version"),
+    ("gpl-3.0-or-later", "later version", r"gnu general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e or at your option any later version"),
+    ("gpl-3.0", "june 2007", r"gnu general public licen[sc]e version 3 29 june 2007"),
+    ("gpl-2.0", "june 1991", r"gnu general public licen[sc]e version 2 june 1991"),
+    ("gpl", "received a copy", r"you should have received a copy of the gnu general public licen[sc]e along with this program"),
+    ("gpl", "gpl", r"licen[sc]ed under (the )?(gnu )?gpl"),
+    ("gpl-2.0", "gpl", r"licen[sc]ed under (the )?(gnu )?gpl ?v?2"),
+    ("gpl-3.0", "gpl", r"licen[sc]ed under (the )?(gnu )?gpl ?v?3"),
+    ("gpl", "copyleft", r"the licenses for most software are designed to take away your freedom (.{0,60} )?copyleft"),
+    ("gpl-classpath", "classpath", r"gnu general public licen[sc]e (.{0,30} )?with the classpath exception"),
+    ("lgpl", "received a copy", r"you should have received a copy of the gnu lesser general public licen[sc]e"),
+    ("lgpl-2.1", "february 1999", r"gnu lesser general public licen[sc]e version 2 1 february 1999"),
+    ("lgpl-3.0", "june 2007", r"gnu lesser general public licen[sc]e version 3 29 june 2007"),
+    ("lgpl-2.1-or-later", "later version", r"gnu lesser general public licen[sc]e as published by the free software foundation either version 2 1 of the licen[sc]e or at your option any later version"),
+    ("lgpl", "lgpl", r"licen[sc]ed under (the )?(gnu )?lgpl"),
+    ("lgpl", "linking", r"linking this library (.{0,60} )?licen[sc]e"),
+    ("agpl", "received a copy", r"you should have received a copy of the gnu affero general public licen[sc]e"),
+    ("agpl-3.0", "november 2007", r"gnu affero general public licen[sc]e version 3 19 november 2007"),
+    ("agpl", "agpl", r"licen[sc]ed under (the )?(gnu )?agpl"),
+    ("gfdl", "invariant", r"free documentation licen[sc]e (.{0,80} )?with no invariant sections"),
+    ("mpl-2.0", "mpl", r"if a copy of the mpl was not distributed with this file (.{0,60} )?licen[sc]e"),
+    ("mpl-1.1", "contents", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1"),
+    ("mpl-2.0", "exhibit", r"exhibit a source code form license notice"),
+    ("mpl", "tri licen", r"mpl gpl lgpl tri licen[sc]e"),
+    ("epl-1.0", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v1 0"),
+    ("epl-2.0", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v?2 0"),
+    ("epl-2.0", "secondary", r"this source code may also be made available under the following secondary licenses"),
+    ("cddl-1.0", "cddl", r"(subject to the terms of the )?cddl licen[sc]e"),
+    ("cddl-1.0", "common development", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    ("cpl-1.0", "agreement", r"provided under the terms of this common public licen[sc]e agreement"),
+    ("ipl-1.0", "agreement", r"provided under the terms of this ibm public licen[sc]e agreement"),
+    ("artistic", "perl", r"same terms as perl itself (.{0,60} )?artistic licen[sc]e"),
+    ("artistic-2.0", "everyone is permitted", r"artistic licen[sc]e 2 0 (.{0,60} )?everyone is permitted"),
+    ("perl", "perl", r"licen[sc]ed under the same terms as perl"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented (.{0,80} )?licen[sc]e"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such (.{0,80} )?licen[sc]e"),
+    ("libpng", "libpng", r"png reference library licen[sc]e (.{0,20} )?libpng"),
+    ("bsl-1.0", "boost", r"distributed under the boost software licen[sc]e version 1 0"),
+    ("busl-1.1", "change date", r"business source licen[sc]e (.{0,60} )?change date"),
+    ("unlicense", "unlicense", r"for more information please refer to http unlicense org"),
+    ("wtfpl", "wtfpl", r"(the )?wtfpl licen[sc]e"),
+    ("wtfpl", "verbatim", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("gpl", "changing it", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("cc0-1.0", "dedicated", r"dedicated (this work|the work) to the public domain"),
+    ("cc0-1.0", "affirmer", r"public domain (.{0,60} )?affirmer"),
+    ("cc-by-4.0", "attribution", r"creative commons attribution 4 0 international( public)? licen[sc]e"),
+    ("cc-by-3.0", "attribution", r"creative commons attribution 3 0 (unported )?licen[sc]e"),
+    ("cc-by-sa-3.0", "attribution", r"creative commons attribution share ?alike 3 0 unported( licen[sc]e)?"),
+    ("cc-by-sa-4.0", "attribution", r"creative commons attribution share ?alike 4 0 international( licen[sc]e)?"),
+    ("cc-by-nc-4.0", "attribution", r"creative commons attribution non ?commercial 4 0 international( licen[sc]e)?"),
+    ("cc-by-nd-4.0", "attribution", r"creative commons attribution no ?derivatives 4 0 international( licen[sc]e)?"),
+    ("cc-by-nc-sa-4.0", "attribution", r"creative commons attribution non ?commercial share ?alike 4 0 international( licen[sc]e)?"),
+    ("cc-by-nc-nd-4.0", "attribution", r"creative commons attribution non ?commercial no ?derivatives 4 0 international( licen[sc]e)?"),
+    ("cc-by", "by", r"licen[sc]ed under (a )?cc by( [234] 0)?"),
+    ("cc-by-sa", "by", r"licen[sc]ed under (a )?cc by sa( [234] 0)?"),
+    ("cc-by-nc-sa", "by", r"licen[sc]ed under (a )?cc by nc sa( [234] 0)?"),
+    ("cc-by", "creativecommons", r"creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nd", "creativecommons", r"creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-nc-sa", "creativecommons", r"creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd [1-4] [05]"),
+    ("ofl-1.1", "reserved font", r"with reserved font name (.{0,60} )?licen[sc]e"),
+    ("ofl-1.1", "scripts sil", r"this license is available with a faq at http scripts sil org ofl"),
+    ("odbl-1.0", "opendatacommons", r"opendatacommons org licenses odbl"),
+    ("odbl-1.0", "openstreetmap", r"openstreetmap contributors (.{0,60} )?open database licen[sc]e"),
+    ("pddl-1.0", "opendatacommons", r"opendatacommons org licenses pddl"),
+    ("odc-by-1.0", "opendatacommons", r"opendatacommons org licenses by"),
+    ("psf-2.0", "psf", r"psf licen[sc]e agreement( for python)?"),
+    ("python-2.0", "beopen", r"beopen com licen[sc]e agreement for python 2 0"),
+    ("php-3.01", "php", r"this source file is subject to version 3 01 of the php licen[sc]e"),
+    ("ruby", "modify it under", r"you can redistribute it and or modify it under (either the terms of the 2 clause bsdl|the same terms as ruby) (.{0,20} )?licen[sc]e"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project (.{0,60} )?licen[sc]e"),
+    ("ssleay", "ssleay", r"original ssleay licen[sc]e"),
+    ("w3c", "w3c", r"w3c document licen[sc]e"),
+    ("x11", "x consortium", r"x consortium (.{0,60} )?licen[sc]e"),
+    ("ncsa", "illinois", r"university of illinois open source licen[sc]e"),
+    ("ms-pl", "ms pl", r"microsoft public licen[sc]e ms pl"),
+    ("ms-rl", "ms rl", r"microsoft reciprocal licen[sc]e ms rl"),
+    ("eupl-1.2", "eupl", r"licen[sc]ed under the eupl( version 1 2)?"),
+    ("ecl-2.0", "educational", r"licen[sc]ed under the educational community licen[sc]e version 2 0"),
+    ("postgresql", "postgresql", r"postgresql database management system (.{0,60} )?licen[sc]e"),
+    ("sspl-1.0", "sspl", r"(the )?sspl licen[sc]e"),
+    ("elastic-2.0", "elastic", r"elastic licen[sc]e 2 0( and the server side public licen[sc]e)?"),
+    ("openrail-m", "use based", r"use based restrictions (.{0,60} )?openrail"),
+    ("llama", "meta", r"meta llama 3 is licen[sc]ed under the meta llama 3 community licen[sc]e"),
+    ("gemma", "gemma", r"gemma terms of use licen[sc]e"),
+    ("proprietary", "confidential", r"proprietary and confidential (.{0,40} )?all rights reserved"),
+    ("proprietary", "unauthorized", r"unauthorized copying of this file via any medium is strictly prohibited (.{0,40} )?licen[sc]e"),
+    ("proprietary", "evaluation", r"for evaluation purposes only under (a|the) license agreement"),
+    ("commercial", "commercial", r"commercial licen[sc]e (agreement|required|available)"),
+    ("end-user-agreement", "end user", r"end user licen[sc]e agreement"),
+    ("warranty-disclaimer", "as is", r"licensed work is provided on an as is basis"),
+    ("warranty-disclaimer", "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e"),
+    ("public-domain", "public domain", r"this work is in the public domain"),
+    ("public-domain", "public domain", r"no copyright (.{0,20} )?public domain"),
+    ("us-government", "government", r"work of the (united states|u s) government (.{0,60} )?public domain"),
+)
+
 # License ids as they are written after an SPDX tag, in a badge or in package metadata.
 TAGS = (
     "mit", "mit-0", "isc", "apache-1.1", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd", "gpl-1.0", "gpl-2.0", "gpl-3.0",
@@ -151,6 +278,7 @@ GATES = (
 def rules() -> list[dict]:
     """The signature rules in order of priority (0 is the best)."""
     found = [{"label": label, "keyword": keyword, "regex": regex, "weight": 0.9} for label, keyword, regex in NAMES]
+    found += [{"label": label, "keyword": keyword, "regex": regex, "weight": 0.85} for label, keyword, regex in NOTICES]
     found += [{"label": label, "keyword": keyword, "regex": regex, "weight": 0.8} for label, keyword, regex in SENTENCES]
     for tag in TAGS:
         spoken = tag.replace("-", " ").replace(".", " ")
@@ -215,10 +343,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = df.withColumn("base", F.when(some, F.flatten(base)).otherwise(F.array()).cast(kind)).withColumn("found", F.when(some, F.flatten(found)).otherwise(F.array()).cast(kind))
     ordered = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus_end"), x["priority"].alias("priority"), x.alias("x"))))
     empty = F.struct(F.lit(-1).alias("reach"), F.array().cast(kind).alias("kept"))
+    last = lambda s: F.element_at(s["kept"], -1)
+    rest = lambda s: F.slice(s["kept"], 1, F.size(s["kept"]) - 1)
+    taken = lambda o, before: F.struct(o["x"]["end"].alias("reach"), F.array_append(before, o["x"]).alias("kept"))
     kept = F.aggregate(
         ordered,
         empty,
-        lambda s, o: F.when(o["x"]["end"] > s["reach"], F.struct(o["x"]["end"].alias("reach"), F.array_append(s["kept"], o["x"]).alias("kept"))).otherwise(s),
+        lambda s, o: F.when(o["x"]["end"] <= s["reach"], s)
+        .when(o["x"]["start"] >= s["reach"], taken(o, s["kept"]))
+        .when(o["priority"] < last(s)["priority"], taken(o, rest(s)))
+        .otherwise(s),
         lambda s: s["kept"],
     )
     df = df.withColumn("kept", F.when(F.size("found") > 0, kept).otherwise(F.col("found")))

@@ -13,7 +13,9 @@ def spellings(parsed):
     parts = []
     for op, arg in parsed:
         op = str(op)
-        if op == "LITERAL":
+        if op == "ANY":
+            parts.append(["q"])
+        elif op == "LITERAL":
             parts.append([chr(arg)])
         elif op == "IN":
             parts.append([chr(c) for kind, v in arg for c in ([v] if str(kind) == "LITERAL" else range(v[0], v[1] + 1))])
@@ -72,3 +74,15 @@ def test_every_rule_fires_on_its_own_words(spark, texts):
 )
 def test_texts_without_the_word_license(spark, text, label):
     assert license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == label
+
+
+def test_hand_written_rules():
+    hand = [*license_scan.NAMES, *license_scan.SENTENCES, *license_scan.NOTICES]
+    assert len(hand) >= 200 and len({r for _, _, r in hand}) == len(hand)
+
+
+def test_the_better_rule_of_two_that_overlap(spark):
+    """The tag (weight 1) and the name after it share words, and the name reaches further."""
+    text = "spdx license identifier mit license"
+    r = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(d["start"], d["end"], d["label"]) for d in r["detections"]] == [(0, 4, "mit")] and r["score"] == 1.0

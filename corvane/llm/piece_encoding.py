@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.storage import bucketed, settings
+from corvane.llm.storage import bucketed, cut, settings
 
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ɏ"
 WIDE = 60
-PACK = 1 << 23  # characters after which a pack ends
+PACK = 3 << 22  # characters after which a pack ends
 SHARE = 1 << 21  # characters of text for each share of the units, up to MOST_SHARES
 MOST_SHARES = 20_000
 PACKS_AT_ONCE = 1 << 12  # packs whose bundles of a share meet its units in one group
@@ -458,7 +458,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     near = bundles.select("share", "sizes", "spelt").repartition(shares, "share").sortWithinPartitions("share")
     units = near.mapInArrow(_distinct, "share int, unit string").repartition(shares, "share").distinct()
     with settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": KEYS}):
-        known = bucketed(encode_units(units, model_path).select("share", "unit", "ids").mapInArrow(_bundled, "share int, sizes binary, spelt binary, counts binary, ids binary"), "share", "units")
+        known = cut(encode_units(units, model_path).select("share", "unit", "ids").mapInArrow(_bundled, "share int, sizes binary, spelt binary, counts binary, ids binary"), "units")
     left, right, keys = bundles.withColumnRenamed("pack", "owner"), known, ["share"]
     rounds = -(-n_packs // packs_at_once)
     if rounds > 1:  # more bundles of a share than one group should hold

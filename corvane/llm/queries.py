@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import curve_ann, language_id, license_scan, minhash_dedup, piece_encoding, quality_rules, secret_scan, site_quality, source_mixing, storage, token_binary
+from corvane.llm import byte_pairs, curve_ann, language_id, license_scan, minhash_dedup, piece_encoding, quality_rules, secret_scan, site_quality, source_mixing, spelling, storage, token_binary, whitening
 
 #: Folder of the public tokenizers' files; CORVANE_TOKENIZERS overrides the installed package.
 TOKENIZERS = os.environ.get("CORVANE_TOKENIZERS", "")
@@ -82,5 +82,20 @@ def op10_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf, "documents"), width=3, percent=85)
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.vocabulary(_table(spark, sf, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    texts = byte_pairs.decode(byte_pairs.encode(_table(spark, sf, "documents"), path), path)
+    spelt = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelt, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scans, op2_quality_rules, op3_source_mixing, op4_language_id, op5_token_binary, op6_quality_classifier, op7_sentencepiece, op8_secret_scans, op9_nearest_vectors, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_license_scans, op2_quality_rules, op3_source_mixing, op4_language_id, op5_token_binary, op6_quality_classifier, op7_sentencepiece, op8_secret_scans, op9_nearest_vectors, op10_minhash_dedup, op11_spelling_variants, op12_embedding_whitening, op13_byte_pairs)}

@@ -57,5 +57,32 @@ def _nearest(k: int, every: int) -> str:
     )
 
 
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, folded a byte at a time."""
+    steps = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        steps.append(c)
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)"
+    fold = f"list_reduce({octets}, lambda c, b: xor(c >> 8, ({steps}::bigint[])[(xor(c, b) & 255) + 1]), 4294967295::bigint)"
+    return f"xor({fold}, 4294967295::bigint)"
+
+
+def _spelling(least_length: int, least_count: int, every: int, ratio: int) -> str:
+    """Near words by what is left of them without one character."""
+    return f"""with recursive runs as (select doc_id, translate(run, '{UPPER}', '{LOWER}') as run, count(*) as k from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents) group by 1, 2),
+hashed as (select run, k, {_crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from runs where length(run) >= {least_length}),
+spelt as (select case when h % {every} = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, k from hashed),
+words as (select word, sum(k)::bigint as n from spelt where length(word) >= {least_length} group by word having sum(k) >= {least_count}),
+less as (select word, n, gap, substr(word, 1, gap) || substr(word, gap + 2) as rest from (select word, n, unnest(range(length(word)))::int as gap from words)),
+pairs as (select a.word, b.word as near, b.n as near_n from less a join less b on a.rest = b.rest and a.gap = b.gap and a.word <> b.word
+ union select a.word, b.word, b.n from less a join words b on a.rest = b.word union select b.word, a.word, a.n from less a join words b on a.rest = b.word),
+best as (select word, count(*) as n_near, max(near_n) as most, arg_min(near, (-near_n, near)) as near from pairs group by word),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when most >= {ratio} * w.n then near end as form, case when most >= {ratio} * w.n then most end as form_n from words w left join best b on w.word = b.word),
+walk as (select word, word as last from formed union select w.word, f.form from walk w join formed f on w.last = f.word where f.form is not null)
+select f.word, f.form, w.last as root, f.n, f.n_near, f.form_n from formed f join walk w on f.word = w.word join formed l on l.word = w.last where l.form is null"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secret_scans": _secrets(), "op9_nearest_vectors": _nearest(20, 20), "op10_minhash_dedup": _near_duplicates(3, 85)}
+    return {"op8_secret_scans": _secrets(), "op9_nearest_vectors": _nearest(20, 20), "op10_minhash_dedup": _near_duplicates(3, 85), "op11_spelling_variants": _spelling(7, 2, 31, 10)}

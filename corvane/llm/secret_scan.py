@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = "struct<kind:string,start:int,end:int,secret:string>"
+from corvane.llm.text import RUN_BLOCK, running
+
+SPAN = "struct<kind:string,start:int,end:int,digest:string>"
 
 # The three base kinds; regex, the group that must be long enough, its least length.
 BASE = (
@@ -26,9 +28,9 @@ EXTRA = (
     ("slack", "xox", r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 15),
     ("google", "AIza", r"(AIza[A-Za-z0-9_-]{35})", 1, 39),
     ("stripe", "_live_", r"([rs]k_live_[A-Za-z0-9]{16,})", 1, 24),
-    ("jwt", "eyJ", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 28),
+    ("jwt", "eyJ", r"((?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 28),
     ("bearer", "earer", r"([Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}=*)", 1, 27),
-    ("url", "://", r"([a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@[^\s/]+)", 1, 1),
+    ("url", "://", r"((?<![a-z])[a-z][a-z0-9+.-]{0,30}://[^\s:/@]+:[^\s:/@]+@[^\s/]+)", 1, 1),
 )
 
 RULE_VERSION = "2024-1"
@@ -36,20 +38,18 @@ KINDS = [r[0] for r in BASE] + [r[0] for r in EXTRA]
 
 
 def _spans(text: Column, kind: str, regex: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches in code points, less those whose group is too short."""
-    gaps, hits, keys = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.regexp_extract_all(text, F.lit(regex), F.lit(group))
-    one = F.array(F.struct(gaps.alias("gaps"), hits.alias("hits"), keys.alias("keys")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + F.length(x["gap"])
-        span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(x["hit"])).alias("end"), x["key"].alias("secret"))
-        return F.struct((at + F.length(x["hit"])).alias("at"), F.when(F.length(x["key"]) >= least, F.array_append(s["found"], span)).otherwise(s["found"]).alias("found"))
+    """Leftmost non-overlapping matches in code points, less those whose group is too short.
 
-    def fold(p: Column) -> Column:
-        return F.aggregate(F.arrays_zip(F.slice(p["gaps"], 1, F.size(p["hits"])).alias("gap"), p["hits"].alias("hit"), p["keys"].alias("key")), start, step, lambda s: s["found"])
-
-    return F.flatten(F.transform(one, fold))
+    A match starts after the sum of all that was split off before it; the time is in proportion to text and matches.
+    """
+    gaps, hits, keys = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+    each = F.transform(
+        F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), keys.alias("key")),
+        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.when(F.length(x["key"]) >= least, F.sha2(x["key"], 256)).alias("digest")),
+    )
+    told = lambda at, x: F.struct(F.lit(kind).alias("kind"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["hit"]).alias("end"), x["digest"].alias("digest"))
+    placed = running(F.filter(each, lambda x: x["hit"].isNotNull()), F.lit(0), lambda at, x: at + x["gap"] + x["hit"], told, SPAN)
+    return F.filter(placed, lambda x: x["digest"].isNotNull())
 
 
 def _hex_spans(text: Column, least: int) -> Column:
@@ -99,8 +99,8 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, text_col: str
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """doc_id, blob_id, spans for every row of docs: findings of new blobs and of those in the ledger.
 
-    spans is an array of (kind, start, end, secret) in code points, end exclusive, ordered by start and rule. A
-    null text is the empty blob and has no spans. Null ids pass through; repeated rows and equal texts repeat
+    spans is an array of (kind, start, end, digest) in code points, end exclusive, ordered by start and rule; digest
+    is the SHA-256 of what the rule takes for the secret, so that a stored ledger keeps none in clear. A null text is the empty blob and has no spans. Null ids pass through; repeated rows and equal texts repeat
     their result and are scanned once; other columns of docs are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -111,20 +111,44 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return paths.join(found, "blob_id", "left").select("doc_id", "blob_id", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
+def _cover(spans: Column) -> Column:
+    """(kind, start, end) of the parts of the text that spans cover: what overlaps an earlier span belongs to that."""
+    part = "struct<kind:string,start:int,end:int>"
+    told = lambda reach, x: F.struct(F.when(x["start"] >= reach, x["kind"]).alias("kind"), F.greatest(reach, x["start"]).alias("start"), F.greatest(reach, x["end"]).alias("end"))
+    return F.filter(running(spans, F.lit(0), lambda reach, x: F.greatest(reach, x["end"]), told, part), lambda x: x["end"] > x["start"])
+
+
+def _replaced(text: Column, parts: Column) -> Column:
+    """text with each of parts replaced by <kind>, or by nothing without one.
+
+    The text is first cut at every RUN_BLOCK-th part and the pieces at each, as a place in a long text is found by
+    counting from its front.
+    """
+
+    def block(x: Column, held: Column) -> Column:
+        """The text from the end of the part before the block's first up to the end of its last."""
+        own, begin = x["parts"], x["begin"]
+        piece = F.substring(held, begin + 1, F.element_at(own, -1)["end"] - begin)
+        kept = F.transform(own, lambda p, i: F.struct(F.when(i == 0, begin).otherwise(F.get(own, i - 1)["end"]).alias("from"), p.alias("p")))
+        spell = lambda c, h: F.concat(F.substring(h["piece"], c["from"] - begin + 1, c["p"]["start"] - c["from"]), F.coalesce(F.concat(F.lit("<"), c["p"]["kind"], F.lit(">")), F.lit("")))
+        return F.array_join(F.flatten(F.transform(F.array(F.struct(piece.alias("piece"), kept.alias("kept"))), lambda h: F.transform(h["kept"], lambda c: spell(c, h)))), "")
+
+    def whole(a: Column) -> Column:
+        count = F.size(a["parts"])
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / RUN_BLOCK).cast("int")), lambda b: F.struct(F.slice(a["parts"], b * RUN_BLOCK + 1, RUN_BLOCK).alias("parts"), F.get(a["ends"], b * RUN_BLOCK).alias("begin")))
+        return F.concat(F.array_join(F.transform(blocks, lambda x: block(x, a["text"])), ""), F.substring(a["text"], F.element_at(a["ends"], -1) + 1, F.length(a["text"])))
+
+    ends = F.concat(F.array(F.lit(0)), F.transform(parts, lambda p: p["end"]))
+    return F.get(F.transform(F.array(F.struct(text.alias("text"), parts.alias("parts"), ends.alias("ends"))), whole), 0)
+
+
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every secret span of its text replaced by <kind>; found through the ledger, joined on the blob.
 
-    Overlapping spans merge into the earliest. Texts without a secret, and null texts, stay as they are.
+    Of overlapping spans the earliest gives its kind to its own part, and what reaches beyond it goes with no mark
+    of its own. Texts without a secret, and null texts, stay as they are.
     """
-    found = scan_new(docs, None, text_col).where(F.size("spans") > 0).select("blob_id", "spans")
+    found = scan_new(docs, None, text_col).where(F.size("spans") > 0).select(F.col("blob_id").alias("_blob"), _cover(F.col("spans")).alias("_parts"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    fold = F.aggregate(
-        "_spans",
-        start,
-        lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))),
-        lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.length("_text"))),
-    )
-    held = docs.withColumn("_blob", F.unhex(F.sha2(text, 256))).join(found.select(F.col("blob_id").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    held = held.withColumn("_text", text)
-    return held.withColumn(text_col, F.when(F.size("_spans") > 0, fold).otherwise(F.col(text_col))).select(*docs.columns)
+    held = docs.withColumn("_blob", F.unhex(F.sha2(text, 256))).join(found, "_blob", "left").withColumn("_text", text)
+    return held.withColumn(text_col, F.when(F.size("_parts") > 0, _replaced(F.col("_text"), F.col("_parts"))).otherwise(F.col(text_col))).select(*docs.columns)

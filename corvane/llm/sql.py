@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from corvane.llm import secret_scan
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -13,11 +15,17 @@ def _quoted(text: str) -> str:
 
 
 def _kind(at: int, kind: str, regex: str, group: int, least: int) -> str:
-    """Spans of one kind: starts are sums of the lengths of what stands before a match."""
+    """Spans of one kind: starts are sums of the lengths of what stands before a match.
+
+    A character that must not stand before a match is matched with it, as group 1, and left out of the span.
+    """
+    lead, kept = "0", f"length(keys[i]) >= {least}"
+    if m := re.fullmatch(r"\(\(\?<!\[(.+?)\]\)(.+)\)", regex):
+        regex, group, lead = f"(^|[^{m[1]}])({m[2]})", 2, "length(hits[i]) - length(keys[i])"
     r = _quoted(regex.replace(r"[^\s", r"[^\x20\t-\r"))
     return (
-        f"select doc_id, {at} as rank, '{kind}' as kind, s as start, s + length(hits[i]) as stop from (select doc_id, i, hits, keys, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) as s"
-        f" from (select doc_id, string_split_regex(text, {r}) as gaps, regexp_extract_all(text, {r}, 0) as hits, regexp_extract_all(text, {r}, {group}) as keys, unnest(range(1, len(regexp_extract_all(text, {r}, 0)) + 1)) as i from docs) a) b where length(keys[i]) >= {least}"
+        f"select doc_id, {at} as rank, '{kind}' as kind, s + {lead} as start, s + length(hits[i]) as stop from (select doc_id, i, hits, keys, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) as s"
+        f" from (select doc_id, string_split_regex(text, {r}) as gaps, regexp_extract_all(text, {r}, 0) as hits, regexp_extract_all(text, {r}, {group}) as keys, unnest(range(1, len(regexp_extract_all(text, {r}, 0)) + 1)) as i from docs) a) b where {kept}"
     )
 
 

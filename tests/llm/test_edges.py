@@ -1,7 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import hashlib
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import plain
 from corvane.llm import curve_ann, language_id, license_scan, minhash_dedup, piece_encoding, quality_rules, secret_scan, site_quality, source_mixing, token_binary
@@ -176,3 +180,41 @@ def test_nearest_edges(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in curve_ann.nearest(df, df.where("vec_id in (0, 3)"), k=5).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 0.0), (0, 3, 7, -1.0)]
     assert curve_ann.nearest(df.limit(0), df, k=5).count() == 0
+
+
+def test_secrets_of_long_texts(spark):
+    """Millions of letters before a scheme, tens of thousands of matches, runs of what begins a token: all in linear time."""
+    keys = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(50_000)]
+    texts = ["a" * 5_000_000 + "://user:password@host", "\n".join(keys), "eyJ" * 1_000_000, "bearer " * 300_000, "token" + " " * 2_000_000 + "= 0123456789", "-----BEGIN " + "A" * 2_000_000, "see .https://me:pw@host/x and 9ftp://a:b@c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    found, clean = by_id(secret_scan.secret_scan(docs)), by_id(secret_scan.redacted(docs))
+    assert time.time() - began < 240
+    for k, text in enumerate(texts):
+        own = [(s["kind"], s["start"], s["end"]) for s in found[k]["spans"]]
+        base = [s for s in own if s[0] in ("assign", "access", "hex")]
+        assert hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in base).encode()).hexdigest() == plain.secrets(text)[3]
+    assert [s["kind"] for s in found[6]["spans"]] == ["url", "url"] and clean[6]["text"] == "see .<url>/x and 9<url>"
+    assert found[1]["spans"][7]["digest"] == hashlib.sha256(keys[7].encode()).hexdigest()
+    assert clean[1]["text"] == "\n".join(["<hex>"] * len(keys))
+    assert clean[2]["text"] == texts[2]
+
+
+def test_redaction_across_blocks(spark):
+    """Parts that overlap, touch, begin and end the text, in more than one block."""
+    spans, kinds = [], ["assign", "hex", "url"]
+    rng = np.random.default_rng(4)
+    at = 0
+    for k in range(700):
+        at += int(rng.integers(0, 4))
+        spans.append((kinds[k % 3], at, at + int(rng.integers(1, 9)), ""))
+    text = "".join("aé日😀"[i % 4] for i in range(spans[-1][1] + 20))
+    want, reach = "", 0
+    for kind, a, b, _ in spans:
+        if a >= reach:
+            want += text[reach:a] + f"<{kind}>"
+        reach = max(reach, b)
+    want += text[reach:]
+    df = spark.createDataFrame([(text, spans), (text, []), ("", [])], f"text string, spans array<{secret_scan.SPAN}>")
+    got = df.select(F.when(F.size("spans") > 0, secret_scan._replaced(F.col("text"), secret_scan._cover(F.col("spans")))).otherwise(F.col("text"))).collect()
+    assert [r[0] for r in got] == [want, text, ""]

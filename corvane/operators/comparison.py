@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions.scalar import ratio
 from corvane.operators.evaluation import auc, bootstrap_auc_delta, class_metrics, confusion, delong
 from corvane.operators.graph import cut
+from corvane.operators.quantiles import quantiles
 from corvane.operators.ranks import sums_before
 
 
@@ -33,7 +34,7 @@ def delong_p(df: DataFrame, label: str, a: str, b: str) -> DataFrame:
 def interval(draws: DataFrame, columns: Sequence[str], level: float = 0.95) -> DataFrame:
     """One row: lower and upper percentile of each column of draws, interpolated."""
     tail = (1 - level) / 2
-    return draws.agg(*[F.percentile(c, p).alias(f"{c}_{n}") for c in columns for n, p in (("lower", tail), ("upper", 1 - tail))])
+    return quantiles(draws, [], {f"{c}_{n}": (c, p) for c in columns for n, p in (("lower", tail), ("upper", 1 - tail))})
 
 
 def group_bootstrap(df: DataFrame, group: str, label: str, a: str, b: str, replicates: int, seed: int) -> DataFrame:

@@ -18,9 +18,9 @@ def average_hash(pixels: Column) -> Column:
 
 
 def difference_hash(pixels: Column, width: int = 8) -> Column:
-    """Bit per pixel: darker than its right neighbour, the last column against the first one."""
-    right = F.transform(F.sequence(F.lit(0), F.size(pixels) - 1), lambda i: F.get(pixels, F.when(i % width == width - 1, i - (width - 1)).otherwise(i + 1)))
-    return pack_bits(F.zip_with(pixels, right, lambda a, b: a < b))
+    """Bit per neighbouring pair of an image of rows of width + 1 pixels: the left one is darker than the right one."""
+    places = F.filter(F.sequence(F.lit(0), F.size(pixels) - 2), lambda i: i % (width + 1) < width)
+    return pack_bits(F.transform(places, lambda i: F.get(pixels, i) < F.get(pixels, i + 1)))
 
 
 def hamming_pairs(df: DataFrame, key: str, hash_col: str, limit: int) -> DataFrame:

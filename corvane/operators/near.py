@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.graph import components, cut
+from corvane.operators.copies import class_groups, content_classes, pair_counts
+from corvane.operators.graph import cut
 from corvane.operators.hashing import hamming_pairs, pack_bits
 
 #: What of each row is told on both sides of a pair.
@@ -99,12 +101,13 @@ def candidates(df: DataFrame, key: str, hashes: Sequence[str], limit: int = 4, g
 
 
 def dense_groups(pairs: DataFrame) -> DataFrame:
-    """pairs(a, b, ...) with group_id: groups of linked ends, numbered from 0 by their first pair in order of (a, b).
+    """pairs(a, b, ...) with group_id: groups of linked ends, numbered from 0 by their first pair in order of (a, b);
+    an end may be paired with itself.
 
     Numbers come from ranks within buckets of roots, so no task orders all groups.
     """
-    roots = components(pairs, "a", "b")
-    placed = pairs.join(roots.withColumnRenamed("node", "a"), "a")
+    roots = class_groups(pairs)
+    placed = pairs.join(roots.withColumnRenamed("class_id", "a"), "a")
     first = placed.groupBy("root").agg(F.min(F.struct("a", "b")).alias("at"))
     # a component's first pair begins at its root, the smallest node, so roots are in the order of first pairs
     spread = first.select("root", F.col("root").cast("string").alias("_s"))
@@ -116,30 +119,36 @@ def dense_groups(pairs: DataFrame) -> DataFrame:
     return placed.join(ids, "root").drop("root")
 
 
+class Duplicates(NamedTuple):
+    """What find_duplicates() finds; all of it is about classes of equal pixels, named by their smallest key."""
+
+    #: a, b, distances, ssim, the counts of pair_counts(), FIELDS of both named rows, and group_id; a = b within a class.
+    pairs: DataFrame
+    #: a, b and distances of all classes that were compared.
+    candidates: DataFrame
+    #: class_id of every row that has all hashes, beside its own columns.
+    members: DataFrame
+
+
 def find_duplicates(
     df: DataFrame, key: str, pixels: str, hashes: Sequence[str] = ("ahash", "dhash", "phash"), limit: int = 4, threshold: float = 0.95, other_groups_only: bool = False, size: int = 64
-) -> tuple[DataFrame, DataFrame]:
-    """(pairs, candidates): confirmed near copies, and all pairs of near hashes that were compared.
+) -> Duplicates:
+    """Confirmed near copies, by classes of equal pixels.
 
-    df has key, pixels (array of a square image), the hashes and FIELDS (fields it lacks are null). Images are
-    compared whose hashes are near; pairs of at least the threshold stay, with distances, ssim, FIELDS of both sides,
-    same_group, label_conflict (both known and different) and group_id. other_groups_only leaves out pairs within
-    one group. Images of equal pixels are one candidate: each copy pairs with the smallest key that has them (ssim 1).
+    df has key, pixels (array of a square image), the hashes and FIELDS (fields it lacks are null). One image of each
+    class is compared with those of near hashes; pairs of classes of at least the threshold stay, and so do classes
+    of two rows or more (ssim 1). Every pair of members counts, so no leak or conflict hides behind a class's first
+    row. other_groups_only leaves out pairs within one group, and classes and links that have no others.
     """
     lacking = [f for f in FIELDS if f not in df.columns]
-    rows = df.select("*", *[F.lit(None).cast("string").alias(f) for f in lacking])
-    whole = rows.where(" and ".join(f"{h} is not null" for h in hashes)).withColumn("_px", F.sha2(F.to_json(pixels), 256))
-    owner = ["grp", "_px"] if other_groups_only else ["_px"]
-    first = whole.groupBy(*owner).agg(F.min(key).alias("_rep"))
-    same = F.col("_px") == F.col("_q")
-    reps = whole.join(first.select("_rep"), F.col(key) == F.col("_rep"), "left_semi")
-    near = cut(candidates(reps, key, hashes, limit, "grp" if other_groups_only else None))
-    found = similarity(near, reps, key, pixels, size).where(F.col("ssim") >= threshold)
-    confirmed = near.join(found, ["a", "b"])
-    if not other_groups_only:
-        copies = whole.select(F.col(key).alias("b"), F.col("_px").alias("_q")).join(first, same).where("b <> _rep")
-        confirmed = confirmed.unionByName(copies.select(F.col("_rep").alias("a"), "b", *[F.lit(0).alias(f"{h}_dist") for h in hashes], F.lit(1.0).alias("ssim")))
-    side = lambda s: rows.select(F.col(key).alias(s), *[F.col(f).alias(f"{f}_{s}") for f in FIELDS])
-    told = confirmed.join(side("a"), "a").join(side("b"), "b")
-    told = told.withColumn("same_group", F.coalesce(F.col("grp_a") == F.col("grp_b"), F.lit(False))).withColumn("label_conflict", F.coalesce(F.col("label_a") != F.col("label_b"), F.lit(False)))
-    return dense_groups(cut(told)), near
+    rows = df.select("*", *[F.lit(None).cast("boolean" if f == "used" else "string").alias(f) for f in lacking])
+    whole = rows.where(" and ".join(f"{h} is not null" for h in hashes))
+    members = cut(content_classes(whole, key, F.sha2(F.to_json(pixels), 256)))
+    reps = members.where(F.col(key) == F.col("class_id"))
+    tried = cut(candidates(reps, key, hashes, limit))
+    links = cut(tried.join(similarity(tried, reps, key, pixels, size).where(F.col("ssim") >= threshold), ["a", "b"]))
+    counts = cut(pair_counts(members.withColumn("used", F.coalesce("used", F.lit(True))), links, other_groups_only))
+    zero = [F.coalesce(f"{h}_dist", F.lit(0)).alias(f"{h}_dist") for h in hashes]
+    found = counts.join(links, ["a", "b"], "left").select(*counts.columns, *zero, F.coalesce("ssim", F.lit(1.0)).alias("ssim"))
+    side = lambda s: reps.select(F.col(key).alias(s), *[F.col(f).alias(f"{f}_{s}") for f in FIELDS])
+    return Duplicates(dense_groups(cut(found.join(side("a"), "a").join(side("b"), "b"))), tried, members)

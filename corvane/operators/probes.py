@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,13 @@ from corvane.functions.keys import order_key
 from corvane.operators.evaluation import auc
 from corvane.operators.graph import cut
 from corvane.operators.matching import greedy_match
-from corvane.operators.outliers import zscore_outliers
+from corvane.operators.outliers import known, zscore_outliers
+from corvane.operators.quantiles import quantiles
 from corvane.operators.ranks import ranked
 
 SAMPLE = 20_000  # rows that trees are drawn from: the documented bound
 TREE = 256  # rows of a tree
+SHARE = 100_000  # rows that meet a forest at a time
 
 
 def _path_norm(n: float) -> float:
@@ -50,47 +53,69 @@ def _lengths(tree: tuple, x: np.ndarray, rows: np.ndarray, depth: int, out: np.n
     _lengths(tree[3], x, rows[~low], depth + 1, out)
 
 
-def isolation_scores(df: DataFrame, key: str, metrics: Sequence[str], trees: int = 100, seed: int = 42) -> DataFrame:
-    """key, score (0 to 1, larger is odder) by an isolation forest on standardised metrics; nulls count as the mean.
+def _grown(metrics: int, trees: int, seed: int):
+    """The forest of a dataset's sample, as rows (dataset, forest, size)."""
 
-    Each tree is grown on TREE of at most SAMPLE rows, those of the smallest hash of their key; every row is scored.
-    """
-    stats = df.agg(*[f(m).alias(f"{n}{k}") for k, m in enumerate(metrics) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    scaled = [F.coalesce((F.col(m).cast("double") - F.lit(stats[f"m{k}"])) / F.lit(stats[f"s{k}"] or 1.0), F.lit(0.0)) if stats[f"m{k}"] is not None else F.lit(0.0) for k, m in enumerate(metrics)]
-    rows = df.select(F.col(key).alias("key"), F.array(*scaled).alias("x"))
-    part = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))
-    few = rows.where(part < int(min(1.0, 1.2 * SAMPLE / max(rows.count(), 1)) * (1 << 30))).orderBy(part, "key").limit(SAMPLE).select("x").collect()
-    held = np.array([r["x"] for r in few], float).reshape(-1, len(metrics))
-    rng = np.random.default_rng(seed)
-    size = min(TREE, len(held))
-    forest = [_tree(held[rng.choice(len(held), size, replace=False)], rng, int(np.ceil(np.log2(max(size, 2))))) for _ in range(trees if size else 0)]
-    whole = max(_path_norm(size), 1e-9)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        few = table.sort_by([("part", "ascending"), ("key", "ascending")]).slice(0, SAMPLE)
+        held = few.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, metrics)
+        rng = np.random.default_rng(seed)
+        size = min(TREE, len(held))
+        forest = [_tree(held[rng.choice(len(held), size, replace=False)], rng, int(np.ceil(np.log2(max(size, 2))))) for _ in range(trees)]
+        return pa.table([few.column("d").slice(0, 1), pa.array([pickle.dumps(forest)], pa.binary()), pa.array([size], pa.int64())], names=["d", "forest", "size"])
+
+    return run
+
+
+def _scored(metrics: int):
+    """Scores of a share of a dataset's rows by its forest."""
+
+    def run(key: tuple, rows: pa.Table, grown: pa.Table) -> pa.Table:
+        x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, metrics) if rows.num_rows else np.zeros((0, metrics))
+        forest, total = pickle.loads(grown.column("forest")[0].as_py()) if grown.num_rows else [], np.zeros(len(x))
+        for tree in forest:
+            _lengths(tree, x, np.arange(len(x)), 0, total)
+        whole = max(_path_norm(grown.column("size")[0].as_py()), 1e-9) if grown.num_rows else 1.0
+        return pa.table([rows.column("key"), rows.column("d"), pa.array(2.0 ** (-total / max(len(forest), 1) / whole))], names=["key", "d", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            total = np.zeros(len(x))
-            for tree in forest:
-                _lengths(tree, x, np.arange(len(x)), 0, total)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(2.0 ** (-total / max(len(forest), 1) / whole))], ["key", "score"])
+    return run
 
-    return rows.mapInArrow(run, f"key {dict(df.dtypes)[key]}, score double").withColumnRenamed("key", key)
+
+def isolation_scores(df: DataFrame, key: str, dataset: str, metrics: Sequence[str], trees: int = 100, seed: int = 42, least: int = 20) -> DataFrame:
+    """key, dataset, score (0 to 1, larger is odder) by an isolation forest of each dataset of at least least rows.
+
+    Metrics are standardised within a dataset; nulls and NaN count as its mean. Each tree is grown on TREE of at most
+    SAMPLE rows, those of the smallest hash of their key; every row is scored. Rows meet their dataset's forest in
+    shares of at most about SHARE rows, so a large dataset is scored by many tasks. A null dataset is one.
+    """
+    told = df.select(F.col(key).alias("key"), F.col(dataset).alias("d"), *[known(m).alias(f"v{k}") for k, m in enumerate(metrics)])
+    held = range(len(metrics))
+    stats = told.groupBy("d").agg(F.count("*").alias("n"), *[f(f"v{k}").alias(f"{n}{k}") for k in held for n, f in (("m", F.avg), ("s", F.stddev_pop))]).where(F.col("n") >= least)
+    stats = stats.withColumnRenamed("d", "_d").withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int"))
+    scaled = [F.coalesce((F.col(f"v{k}") - F.col(f"m{k}")) / F.when(F.col(f"s{k}") > 0, F.col(f"s{k}")).otherwise(1.0), F.lit(0.0)) for k in held]
+    part = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))
+    rows = cut(told.join(stats, F.col("d").eqNullSafe(F.col("_d"))).select("key", "d", F.array(*scaled).alias("x"), part.alias("part"), "n", "shares"))
+    few = rows.where(F.col("part") < F.least(F.lit(1.0), F.lit(1.2 * SAMPLE) / F.col("n")) * (1 << 30)).select("key", "d", "x", "part")
+    kind, own = dict(told.dtypes)["d"], dict(told.dtypes)["key"]
+    forests = few.groupBy("d").applyInArrow(_grown(len(metrics), trees, seed), f"d {kind}, forest binary, size long")
+    share = rows.withColumn("share", F.pmod(F.col("part"), F.col("shares")).cast("int")).select("key", "d", "x", "share")
+    dealt = forests.join(stats.select("_d", "shares"), F.col("d").eqNullSafe(F.col("_d"))).select("d", "forest", "size", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    found = share.groupBy("d", "share").cogroup(dealt.groupBy("d", "share")).applyInArrow(_scored(len(metrics)), f"key {own}, d {kind}, score double")
+    return found.select(F.col("key").alias(key), F.col("d").alias(dataset), "score")
 
 
 def flag_outliers(df: DataFrame, key: str, dataset: str, metrics: Sequence[str], limit: float = 3.0, share: float = 0.01, least: int = 20) -> DataFrame:
-    """key, dataset, max_abs_z, reasons, score, forest_flag of rows that a metric or the forest finds odd.
+    """key, dataset, max_abs_z, reasons, score, forest_flag of rows that a metric or the forest finds odd in their dataset.
 
-    The forest flags the share of rows with the largest scores, if there are at least least rows; reasons of a row
-    that only it finds are isolation_forest. Datasets are judged apart by their metrics, and together by the forest.
+    The forest of a dataset of at least least rows flags those whose score exceeds the exact 1 - share quantile of
+    its scores; reasons of a row that only it finds are isolation_forest. Nulls and NaN are missing values.
     """
-    odd = zscore_outliers(df, key, dataset, list(metrics), limit).select(F.col(key).alias("_k"), "max_abs_z", "reasons")
-    if df.count() < least:
-        scored = df.select(key, dataset, F.lit(None).cast("double").alias("score"), F.lit(False).alias("forest_flag"))
-    else:
-        found = cut(isolation_scores(df, key, metrics))
-        edge = found.agg(F.percentile("score", 1 - share).alias("_edge"))
-        scored = df.select(key, dataset).join(found, key).crossJoin(F.broadcast(edge)).withColumn("forest_flag", F.col("score") > F.col("_edge")).drop("_edge")
-    both = scored.join(odd, F.col(key) == F.col("_k"), "left").where(F.col("forest_flag") | F.col("reasons").isNotNull())
+    odd = zscore_outliers(df, key, dataset, list(metrics), limit).select(F.col(key).alias("_k"), F.col(dataset).alias("_o"), "max_abs_z", "reasons")
+    found = cut(isolation_scores(df, key, dataset, metrics, least=least))
+    edge = quantiles(found, [dataset], {"_edge": ("score", 1 - share)}).select(F.col(dataset).alias("_e"), "_edge")
+    flagged = found.join(edge, F.col(dataset).eqNullSafe(F.col("_e"))).withColumn("_odd", F.col("score") > F.col("_edge")).select(F.col(key).alias("_s"), F.col(dataset).alias("_t"), "score", "_odd")
+    scored = df.select(key, dataset).join(flagged, F.col(key).eqNullSafe(F.col("_s")) & F.col(dataset).eqNullSafe(F.col("_t")), "left").withColumn("forest_flag", F.coalesce("_odd", F.lit(False)))
+    both = scored.join(odd, F.col(key).eqNullSafe(F.col("_k")) & F.col(dataset).eqNullSafe(F.col("_o")), "left").where(F.col("forest_flag") | F.col("reasons").isNotNull())
     return both.select(key, dataset, "max_abs_z", F.coalesce("reasons", F.lit("isolation_forest")).alias("reasons"), "score", "forest_flag")
 
 

@@ -114,9 +114,13 @@ def sample_per(df: DataFrame, by: list[str], key: str, n: int, seed: int) -> Dat
     return df.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= n).drop("_at")
 
 
-def overlapping_groups(df: DataFrame, group: str, split: str) -> DataFrame:
-    """group, splits: groups with rows in more than one split; empty for a sound protocol."""
-    return df.groupBy(group).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
+def overlapping_groups(df: DataFrame, group: str, split: str, used: str | None = None) -> DataFrame:
+    """group, splits: groups with used rows in more than one split; empty for a sound protocol.
+
+    Rows without a group or a split are in none, and with used only rows for which that is true count.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(split).isNotNull() & (F.col(used) if used else F.lit(True)))
+    return rows.groupBy(group).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
 
 
 def row_holdout(df: DataFrame, key: str, seed: int, fraction: float, name: str = "split") -> DataFrame:

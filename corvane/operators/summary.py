@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.scalar import ratio
+from corvane.operators.graph import cut
+from corvane.operators.quantiles import quantiles, with_quantiles
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -18,8 +20,22 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     """One row: groups, least, middle and most of their rows; null groups are none."""
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("groups"), F.min("n").alias("least"), F.median("n").alias("middle"), F.max("n").alias("most"))
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("times"))
+    sizes = cut(sizes.withColumn("n", F.col("n").cast("long")))
+    whole = sizes.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("groups"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return _with_middle(whole, sizes, []).select("groups", "least", "middle", "most")
+
+
+def _with_middle(out: DataFrame, sizes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """out with middle, the median size of sizes(by, n, times): there are few distinct sizes, as their sum is the table's."""
+    by = list(by)
+    held = sizes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("n", "times"))).alias("x"), F.sum("times").alias("k"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+    reach = lambda s, x, place, now: F.when((s["at"] <= place) & (place < s["at"] + x["times"]), x["n"]).otherwise(now)
+    lower, upper = F.floor((F.col("k") - 1) / 2), F.floor(F.col("k") / 2)
+    middle = F.aggregate("x", start, lambda s, x: F.struct((s["at"] + x["times"]).alias("at"), reach(s, x, lower, s["a"]).alias("a"), reach(s, x, upper, s["b"]).alias("b")), lambda s: (s["a"] + s["b"]) / 2)
+    told = held.select(*by, middle.alias("middle"))
+    return out.join(told, by, "left") if by else out.crossJoin(F.broadcast(told))
 
 
 def conditional_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
@@ -35,13 +51,6 @@ def any_over(columns: Sequence[str], limit: float) -> Column:
     return found
 
 
-def duplicate_summary(pairs: DataFrame, leaks: DataFrame, a: str, b: str, group: str, conflict: str) -> DataFrame:
-    """One row: pairs, groups, images in them, groups and pairs in conflict, and leaking pairs."""
-    ends = pairs.select(F.col(a).alias("x")).union(pairs.select(F.col(b))).agg(F.countDistinct("x").alias("images"))
-    facts = pairs.agg(F.count("*").alias("pairs"), F.countDistinct(group).alias("groups"), F.count_if(F.col(conflict)).alias("conflict_pairs"), F.countDistinct(F.when(F.col(conflict), F.col(group))).alias("conflict_groups"))
-    return facts.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(leaks.agg(F.count("*").alias("leaks"))))
-
-
 def dataset_summary(df: DataFrame, dataset: str, group: str, used: str, counted: Sequence[str], sizes: Sequence[str], flags: Sequence[str]) -> DataFrame:
     """A row for each dataset: rows, used rows, groups, rows a group (least, middle, most), distinct sizes, flagged rows
     and, as maps, the counts of the values of each counted column. Nothing but group sizes is kept by group."""
@@ -50,8 +59,9 @@ def dataset_summary(df: DataFrame, dataset: str, group: str, used: str, counted:
         *[F.count_if(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in flags],
     )
     per_group = df.where(F.col(group).isNotNull()).groupBy(dataset, group).agg(F.count("*").alias("n"))
-    spread = per_group.groupBy(dataset).agg(F.count("*").alias("groups"), F.min("n").alias("least"), F.median("n").alias("middle"), F.max("n").alias("most"))
-    out = whole.join(spread, dataset, "left")
+    per_size = cut(per_group.groupBy(dataset, "n").agg(F.count("*").alias("times")))
+    spread = per_size.groupBy(dataset).agg(F.sum("times").alias("groups"), F.min("n").alias("least"), F.max("n").alias("most"))
+    out = whole.join(_with_middle(spread, per_size, [dataset]).select(dataset, "groups", "least", "middle", "most"), dataset, "left")
     for c in counted:
         n = df.groupBy(dataset, F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("v")).agg(F.count("*").alias("n"))
         out = out.join(n.groupBy(dataset).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("v", "n")))).alias(f"{c}_counts")), dataset, "left")
@@ -60,20 +70,25 @@ def dataset_summary(df: DataFrame, dataset: str, group: str, used: str, counted:
 
 def case_summary(df: DataFrame, by: Sequence[str], metrics: Sequence[str], flags: Sequence[str], size: str) -> DataFrame:
     """by, n, least/middle/most of each metric, sums of flags, and gigabytes (10^9)."""
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), *[f(m).alias(f"{m}_{s}") for m in metrics for s, f in (("min", F.min), ("median", F.median), ("max", F.max))],
+    out = df.groupBy(*by).agg(
+        F.count("*").alias("n"), *[f(m).alias(f"{m}_{s}") for m in metrics for s, f in (("min", F.min), ("max", F.max))],
         *[F.count_if(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in flags], (F.sum(size) / 1e9).alias("gb"),
     )
+    told = with_quantiles(out, df, by, {f"{m}_median": (m, 0.5) for m in metrics})
+    return told.select(*by, "n", *[f"{m}_{s}" for m in metrics for s in ("min", "median", "max")], *flags, "gb")
 
 
 def label_table(df: DataFrame, by: str, label: str, values: Mapping[str, object], share: tuple[str, str], middle: Sequence[str] = (), mean: Sequence[str] = ()) -> DataFrame:
     """by, n and a count for each named label value; the first of share over both (null without any), medians and means, to three digits."""
     count = {n: F.count_if(F.col(label) == v) for n, v in values.items()}
     a, b = share
-    return df.groupBy(by).agg(
+    out = df.groupBy(by).agg(
         F.count("*").alias("n"), *[c.alias(n) for n, c in count.items()], F.round(ratio(count[a], count[a] + count[b]), 3).alias(f"{a}_share"),
-        *[F.round(F.median(c), 3).alias(f"{c}_median") for c in middle], *[F.round(F.avg(c), 3).alias(f"{c}_mean") for c in mean],
+        *[F.round(F.avg(c), 3).alias(f"{c}_mean") for c in mean],
     )
+    if middle:
+        out = with_quantiles(out, df, [by], {f"{c}_median": (c, 0.5) for c in middle})
+    return out.select(by, "n", *count, f"{a}_share", *[F.round(f"{c}_median", 3).alias(f"{c}_median") for c in middle], *[f"{c}_mean" for c in mean])
 
 
 def rollup_scores(df: DataFrame, group: str, unit: str, score: str, label: str) -> DataFrame:
@@ -115,10 +130,9 @@ def accuracy_table(df: DataFrame, pred: str, label: str, source: str, presence:
 
 def quartile_text(df: DataFrame, by: Sequence[str], metrics: Sequence[str], digits: int = 1) -> DataFrame:
     """by and, for each metric, the text median [lower quartile, upper quartile]; null where there is no value."""
-    q = lambda m: F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    text = lambda x: F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", F.get(x, 1), F.get(x, 0), F.get(x, 2))
-    found = df.groupBy(*by).agg(*[q(m).alias(m) for m in metrics])
-    return found.select(*by, *[F.when(F.get(m, 1).isNotNull(), text(F.col(m))).alias(m) for m in metrics])
+    text = lambda m: F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", F.col(f"{m}_50"), F.col(f"{m}_25"), F.col(f"{m}_75"))
+    found = quantiles(df, by, {f"{m}_{p}": (m, p / 100) for m in metrics for p in (25, 50, 75)})
+    return found.select(*by, *[F.when(F.col(f"{m}_50").isNotNull(), text(m)).alias(m) for m in metrics])
 
 
 def facts(df: DataFrame, named: Mapping[str, Column]) -> DataFrame:
@@ -151,12 +165,16 @@ def grid_counts(df: DataFrame, x: str, y: str, by: Sequence[str] = (), side: int
 
 def box_statistics(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """by, n, q25, q50, q75 and the whiskers: the last values within one and a half times the quartiles' span."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    span = 1.5 * (F.get("_q", 2) - F.get("_q", 0))
-    v = F.col(value)
-    return df.join(q, list(by)).groupBy(*by).agg(
-        F.count(value).alias("n"), *[F.first(F.get("_q", k)).alias(n) for k, n in enumerate(("q25", "q50", "q75"))],
-        F.min(F.when(v >= F.get("_q", 0) - span, v)).alias("low"), F.max(F.when(v <= F.get("_q", 2) + span, v)).alias("high"),
+    names = ("q25", "q50", "q75")
+    q = cut(quantiles(df, by, {n: (value, p) for n, p in zip(names, (0.25, 0.5, 0.75), strict=True)}))
+    few = q.select(*[F.col(b).alias(f"_b{k}") for k, b in enumerate(by)], *[F.col(n).alias(f"_{n}") for n in names])
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_b{k}"))
+    span, v = 1.5 * (F.col("_q75") - F.col("_q25")), F.col(value)
+    return df.join(few, same).groupBy(*by).agg(
+        F.count(value).alias("n"), *[F.first(f"_{n}").alias(n) for n in names],
+        F.min(F.when(v >= F.col("_q25") - span, v)).alias("low"), F.max(F.when(v <= F.col("_q75") + span, v)).alias("high"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corvane.operators import copies as C
 from corvane.operators import graph as G
 from corvane.operators import hashing as H
 from corvane.operators import splits as S
@@ -18,10 +19,11 @@ def _grouped(spark, sf):
 
 
 def leak_exact_copies(spark, sf):
-    """Copies of a text whose ends fall on two sides of the hold-out of their sources."""
+    """Classes of equal texts whose members fall on two sides of the hold-out of their sources, and by how many pairs."""
     docs = _docs(spark, sf)
-    facts = S.group_holdout(docs.select("doc_id", "source"), "source", 42, 0.2).select("doc_id", F.lit(True).alias("used"), F.col("source").alias("grp"), "split", F.lit(None).cast("int").alias("fold"))
-    return G.split_leakage(G.copy_pairs(docs, "doc_id", "text"), facts, "first", "key", "doc_id")
+    facts = S.group_holdout(docs.select("doc_id", "text", F.col("source").alias("grp")), "grp", 42, 0.2)
+    counts = C.pair_counts(C.content_classes(facts, "doc_id", F.sha2("text", 256)))
+    return C.leaking_classes(counts).select(F.col("a").alias("class_id"), "pairs", F.col("holdout").alias("leaks"))
 
 
 def dup_groups_text(spark, sf):
@@ -39,7 +41,7 @@ def dup_resolved_subset(spark, sf):
 
 
 def _hashes(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", "label", H.average_hash(F.col("embedding")).alias("ahash"), H.difference_hash(F.col("embedding")).alias("dhash"))
+    return table(spark, sf, "embeddings").select("vec_id", "label", H.average_hash(F.col("embedding")).alias("ahash"), H.difference_hash(F.col("embedding"), 7).alias("dhash"))
 
 
 def image_hashes(spark, sf):
@@ -63,13 +65,13 @@ _GROUP = "select doc_id, source, lang, min(doc_id) over (partition by text) as d
 _BITS = "select vec_id, label, embedding, list_avg([x::double for x in embedding]) as m from embeddings"
 _PACK = "list_reduce(list_prepend(0::hugeint, [({})::int::hugeint for i in range(1, 65)]), lambda a, b: a * 2 + b)"
 _A = _PACK.format("embedding[i]::double > m")
-_D = _PACK.format("embedding[i] < embedding[case when i % 8 = 0 then i - 7 else i + 1 end]")
+_D = "list_reduce(list_prepend(0::hugeint, [(embedding[i] < embedding[i + 1])::int::hugeint for i in range(1, 64) if i % 8 <> 0]), lambda a, b: a * 2 + b)"
 _SIGNED = "cast(case when {0} >= 9223372036854775808::hugeint then {0} - 18446744073709551616::hugeint else {0} end as bigint)"
 _HASH = f"select vec_id, label, {_SIGNED.format('a')} as ahash, {_SIGNED.format('d')} as dhash from (select vec_id, label, {_A} as a, {_D} as d from ({_BITS}))"
 _NEAR = f"with h as ({_HASH}) select x.vec_id as a, y.vec_id as b, x.label as label_a, y.label as label_b, cast(bit_count(xor(x.ahash, y.ahash)) as integer) as distance from h x join h y on x.vec_id < y.vec_id and bit_count(xor(x.ahash, y.ahash)) <= 17"
 
 SQL = {
-    "leak_exact_copies": f"with g as ({_GROUP}), s as ({_SPLIT}) select g.dup_group as first, g.doc_id as key, 'holdout_split' as leak_type from g join documents d on d.doc_id = g.dup_group join s x on x.source = d.source join s y on y.source = g.source where g.doc_id <> g.dup_group and x.split <> y.split and d.source <> g.source",
+    "leak_exact_copies": f"with g as ({_GROUP}), s as ({_SPLIT}) select a.dup_group as class_id, count(*) as pairs, count(*) filter (x.split <> y.split) as leaks from g a join g b on a.dup_group = b.dup_group and a.doc_id < b.doc_id join s x on x.source = a.source join s y on y.source = b.source group by a.dup_group having count(*) filter (x.split <> y.split) > 0",
     "dup_groups_text": f"select doc_id, dup_group from ({_GROUP})",
     "dup_group_summary": f"select count(*) as groups, cast(coalesce(sum(n), 0) as bigint) as documents, count(*) filter (langs > 1) as conflicts from (select dup_group, count(*) n, count(distinct lang) langs from ({_GROUP}) group by 1 having count(*) > 1)",
     "dup_resolved_subset": f"select min(doc_id) as doc_id, dup_group from ({_GROUP}) group by dup_group having count(distinct lang) <= 1",

@@ -104,6 +104,6 @@ SQL = {
     "fold_mean_std": f"with c as (select fold, {_MET} from (select fold, {_CONF} from {_P} group by 1)), a as ({_auc('fold')}), m as (select * from c join a using (fold)), u as (select 'accuracy' as metric, accuracy as v from m union all select 'sensitivity', sensitivity from m union all select 'specificity', specificity from m union all select 'auc', auc from m) select metric, round(avg(v), 9) as mean, round(stddev_pop(v), 9) as std from u group by 1",
     "late_fusion": "select l_orderkey, round(sum(exp(l_tax) * (l_quantity / 50.0::double)) / sum(exp(l_tax)), 9) as fused from lineitem where l_discount > 0.02 group by 1",
     "review_upsert": f"with z as ({_Z.format(key='event_id', by='event_type', m='value', rel='events')}), f as (select event_id from z where abs((value - av) / nullif(sd, 0)) > 2.0) select event_id, 'keep' as decision, false as flagged from events where event_id % 7 = 0 union all select event_id, null, true from f where event_id % 7 <> 0",
-    "zscore_outliers": "with d as (select doc_id, lang, n_chars, len(string_split(text, ' ')) as words from documents), z as (select doc_id, lang, (n_chars - avg(n_chars) over w) / stddev_pop(n_chars) over w as p, (words - avg(words) over w) / stddev_pop(words) over w as q from d window w as (partition by lang)) select doc_id, lang, round(greatest(abs(q), abs(p)), 6) as max_abs_z, concat_ws(';', case when abs(p) > 3 then format('n_chars(z={:+.1f})', p) end, case when abs(q) > 3 then format('words(z={:+.1f})', q) end) as reasons from z where greatest(abs(q), abs(p)) > 3",
+    "zscore_outliers": "with d as (select doc_id, lang, n_chars, len(string_split(text, ' ')) as words from documents), z as (select doc_id, lang, (n_chars - avg(n_chars) over w) / stddev_pop(n_chars) over w as p, (words - avg(words) over w) / stddev_pop(words) over w as q from d window w as (partition by lang)) select doc_id, lang, round(greatest(abs(q), abs(p)), 6) as max_abs_z, concat_ws(',', case when abs(p) > 3 then format('n_chars(z={:+.1f})', p) end, case when abs(q) > 3 then format('words(z={:+.1f})', q) end) as reasons from z where greatest(abs(q), abs(p)) > 3",
 }
 QUERIES = {f.__name__: f for f in (auc_total, auc_by_source, branch_auc, confusion_by_source, bias_by_lang, fold_mean_std, late_fusion, zscore_outliers, review_upsert, delong_paired, bootstrap_delta)}

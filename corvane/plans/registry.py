@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import catalogue, duplicates, evaluation, portable, splits, summaries
+from corvane.plans import catalogue, copies, duplicates, evaluation, portable, splits, summaries
 
-FAMILIES = [catalogue, splits, duplicates, evaluation, portable, summaries]
+FAMILIES = [catalogue, splits, duplicates, copies, evaluation, portable, summaries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -56,8 +56,6 @@ def test_summaries(spark):
     assert df.where(Y.any_over(["v"], 2)).count() == 1
     images = {r.s: (r.n, r["mean"], r["std"]) for r in Y.mean_image(df, ["s"], "px").collect()}
     assert images == {"a": (2, [2.0, 4.0], [1.0, 2.0]), "b": (1, [5.0, 5.0], [0.0, 0.0])}
-    pairs = spark.createDataFrame([(1, 2, 0, True), (2, 3, 0, False), (7, 8, 1, False)], "a int, b int, g int, c boolean")
-    assert Y.duplicate_summary(pairs, pairs.limit(1), "a", "b", "g", "c").first().asDict() == {"pairs": 3, "groups": 2, "conflict_pairs": 1, "conflict_groups": 1, "images": 5, "leaks": 1}
     sums = spark.createDataFrame([(10.0, 2), (20.0, 8)], "t double, n int")
     assert Y.pooled_mean(sums, "t", "n").first()["mean"] == 3.0
     acc = spark.createDataFrame([(1, 1, "s", [True, False]), (0, 1, "s", [True, True]), (0, 0, "t", [False, True])], "p int, y int, src string, on array<boolean>")

@@ -4,15 +4,17 @@ A document's words are joined by single blanks, so rules are short regexes over
 rules only if that text holds a gate, and each rule runs only if its keyword occurs; every match of a rule holds
 its keyword and at least one gate. Detections are word intervals.
 An interval inside another one is suppressed; of equal intervals, and of two that overlap in part, the rule of the
-best priority stays.
+best priority stays, and one that had lost to a suppressed interval alone comes back.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.text import ascii_lower
+from corvane.llm.text import ascii_lower, running
 
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # A-Z are of words; the same words as after lower-casing
 
@@ -285,7 +287,9 @@ def rules() -> list[dict]:
         loose = spoken.replace(" 0", "( 0)?")
         found.append({"label": tag, "keyword": "spdx", "regex": rf"spdx licen[sc]e identifier {spoken}( only| or later)?", "weight": 1.0})
         found.append({"label": tag, "keyword": spoken.split(" ")[0], "regex": rf"(licen[sc]ed?|released|distributed|available) under (the )?(terms of )?(the )?{loose}( licen[sc]e)?", "weight": 0.7})
-        found.append({"label": tag, "keyword": spoken.split(" ")[0], "regex": rf"licen[sc]e {spoken}", "weight": 0.6})
+        # a name without a version is a common word too often to follow "license" in any text
+        before = "" if re.search(r" \d", spoken) else "(code|software|project|package|module|library|source) "
+        found.append({"label": tag, "keyword": spoken.split(" ")[0], "regex": rf"{before}licen[sc]e {spoken}", "weight": 0.6})
     found.sort(key=lambda r: -r["weight"])  # stable
     return [r | {"priority": k} for k, r in enumerate(found)]
 
@@ -297,18 +301,36 @@ def _blanks(x: Column) -> Column:
 def _intervals(norm: Column, regex: Column) -> Column:
     """(start, end) in words of the matches of regex, which stands between blanks of norm."""
     pattern = F.concat(F.lit("(?<= )(?:"), regex, F.lit(")(?= )"))
-    parts = F.transform(F.array(F.struct(F.split(norm, pattern, -1).alias("gaps"), F.regexp_extract_all(norm, pattern, F.lit(0)).alias("hits"))), lambda p: p)
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-    walk = lambda p: F.aggregate(
-        F.arrays_zip(F.slice(p["gaps"], 1, F.size(p["hits"])).alias("gap"), p["hits"].alias("hit")),
-        start,
-        lambda s, x: F.struct(
-            (s["at"] + _blanks(x["gap"]) + _blanks(x["hit"])).alias("at"),
-            F.array_append(s["found"], F.struct((s["at"] + _blanks(x["gap"])).alias("start"), (s["at"] + _blanks(x["gap"]) + _blanks(x["hit"]) + 1).alias("end"))).alias("found"),
-        ),
-        lambda s: s["found"],
-    )
-    return F.flatten(F.transform(parts, walk))
+    gaps, hits = F.split(norm, pattern, -1), F.regexp_extract_all(norm, pattern, F.lit(0))
+    each = F.transform(F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull()), lambda x: F.struct(_blanks(x["gap"]).alias("gap"), _blanks(x["hit"]).alias("hit")))
+    told = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["hit"] + 1).alias("end"))
+    return running(each, F.lit(-1), lambda at, x: at + x["gap"] + x["hit"], told, "struct<start:int,end:int>")
+
+
+DETECTION = "struct<start:int,end:int,priority:int,label:string,weight:double>"
+
+
+def _suppressed(found: Column) -> Column:
+    """The detections that stay, in order.
+
+    They are swept by start, the longer and then the better one first, past the one that stands. One that lies within it
+    goes; of two that overlap in part the better stays. When a better one takes the place of what stood, the best of
+    those which that had beaten comes back if it ends before the new one starts. The benches of beaten ones are as
+    long as a rule's match at most, and the time is in proportion to the detections.
+    """
+    ordered = F.transform(F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["priority"].alias("priority"), x.alias("x")))), lambda o: o["x"])
+    far = F.lit(2**31 - 1)
+    last = F.struct(far.alias("start"), far.alias("end"), far.alias("priority"), F.lit("").alias("label"), F.lit(0.0).alias("weight"))
+    none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), far.alias("priority"), F.lit("").alias("label"), F.lit(0.0).alias("weight"))
+    empty = F.array().cast(f"array<{DETECTION}>")
+    state = lambda top, bench: F.struct(top.alias("top"), bench.alias("bench"))
+    beyond = lambda s, x: x["start"] >= s["top"]["end"]
+    beats = lambda s, x: (x["end"] > s["top"]["end"]) & (x["priority"] < s["top"]["priority"])
+    back = lambda s, x: F.slice(F.array_sort(F.transform(F.filter(s["bench"], lambda l: l["end"] <= x["start"]), lambda l: F.struct(l["priority"].alias("p"), l.alias("l")))), 1, 1)  # noqa: E731, E741
+    add = lambda s, x: F.when(beyond(s, x) | beats(s, x), state(x, empty)).otherwise(state(s["top"], F.array_append(s["bench"], x)))
+    tell = lambda s, x: F.struct(F.when(beyond(s, x), F.array(s["top"])).when(beats(s, x), F.transform(back(s, x), lambda b: b["l"])).otherwise(empty).alias("kept"))
+    told = running(F.concat(ordered, F.array(last)).cast(f"array<{DETECTION}>"), state(none, empty), add, tell, f"struct<kept:array<{DETECTION}>>")
+    return F.filter(F.flatten(F.transform(told, lambda t: t["kept"])), lambda x: x["start"] >= 0)
 
 
 def _table(entries: list[dict]) -> Column:
@@ -338,24 +360,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     usable = F.filter(_table(rules()), lambda r: F.col("norm").contains(r["keyword"]))
     found = F.transform(usable, lambda r: F.transform(_intervals(F.col("norm"), r["regex"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight"))))
-    kind = "array<struct<start:int,end:int,priority:int,label:string,weight:double>>"
+    kind = f"array<{DETECTION}>"
     some = F.col("norm").isNotNull()
     df = df.withColumn("base", F.when(some, F.flatten(base)).otherwise(F.array()).cast(kind)).withColumn("found", F.when(some, F.flatten(found)).otherwise(F.array()).cast(kind))
-    ordered = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus_end"), x["priority"].alias("priority"), x.alias("x"))))
-    empty = F.struct(F.lit(-1).alias("reach"), F.array().cast(kind).alias("kept"))
-    last = lambda s: F.element_at(s["kept"], -1)
-    rest = lambda s: F.slice(s["kept"], 1, F.size(s["kept"]) - 1)
-    taken = lambda o, before: F.struct(o["x"]["end"].alias("reach"), F.array_append(before, o["x"]).alias("kept"))
-    kept = F.aggregate(
-        ordered,
-        empty,
-        lambda s, o: F.when(o["x"]["end"] <= s["reach"], s)
-        .when(o["x"]["start"] >= s["reach"], taken(o, s["kept"]))
-        .when(o["priority"] < last(s)["priority"], taken(o, rest(s)))
-        .otherwise(s),
-        lambda s: s["kept"],
-    )
-    df = df.withColumn("kept", F.when(F.size("found") > 0, kept).otherwise(F.col("found")))
+    df = df.withColumn("kept", F.when(F.size("found") > 0, _suppressed(F.col("found"))).otherwise(F.col("found")))
     names = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"])))
     return df.select(
         "doc_id",

@@ -1,9 +1,12 @@
 """Every license rule fires on its own words, without others around."""
 
+import random
 import re
+import time
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import license_scan
 
@@ -86,3 +89,43 @@ def test_the_better_rule_of_two_that_overlap(spark):
     text = "spdx license identifier mit license"
     r = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [(d["start"], d["end"], d["label"]) for d in r["detections"]] == [(0, 4, "mit")] and r["score"] == 1.0
+
+
+@pytest.mark.parametrize("text", ["my driver license mit degree", "license isc y", "the license ruby gave me", "a license vim"])
+def test_names_that_are_words(spark, text):
+    assert license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == ""
+
+
+def plain_suppression(found):
+    kept, top, bench = [], None, []
+    for x in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
+        if top is None or x[0] >= top[1]:
+            kept += [top] if top else []
+            top, bench = x, []
+        elif x[1] > top[1] and x[2] < top[2]:
+            kept += sorted((y for y in bench if y[1] <= x[0]), key=lambda y: (y[2], y[0], y[1], y[2]))[:1]
+            top, bench = x, []
+        else:
+            bench.append(x)
+    return kept + ([top] if top else [])
+
+
+def test_suppression(spark):
+    """Chains of overlaps over more than one block; a detection beaten by one that is beaten in turn comes back."""
+    r = random.Random(6)
+    cases = [[(0, 5, 4, "long", 0.5), (1, 3, 3, "inner", 0.5), (4, 8, 1, "best", 0.5)]]
+    for n in (1, 2, 5, 40, 300):
+        starts = [r.randint(0, 3 * n) for _ in range(n)]
+        cases.append([(s, s + r.randint(1, 9), r.randint(0, 20), "x", 0.5) for s in starts])
+    assert [x[3] for x in plain_suppression(cases[0])] == ["inner", "best"]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], f"k int, found array<{license_scan.DETECTION}>")
+    for row in df.select("k", license_scan._suppressed(F.col("found")).alias("kept")).collect():
+        assert [tuple(x) for x in row["kept"]] == plain_suppression(cases[row["k"]])
+
+
+def test_many_matches_in_one_text(spark):
+    text = "Licensed under the MIT License. " * 50_000
+    began = time.time()
+    r = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], len(r["detections"])) == (250_000, 50_000, 2, 249_997, 50_000)
+    assert time.time() - began < 120

@@ -41,8 +41,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(np.concatenate([[0], ends])))
     blank = code == 0
     keep = ~blank
-    keep[1:] |= ~blank[:-1]  # the first blank of a run stays
-    keep[0] = True
+    keep[1:] |= ~blank[:-1]  # the first blank of a run stays, but none before a text's first letter
     code, doc = code[keep], doc[keep]
     one, two, three = np.uint64(1 << 51), np.uint64(2 << 51), np.uint64(3 << 51)
     shift, shift2, top = np.uint64(BITS), np.uint64(2 * BITS), np.uint64(53)
@@ -100,18 +99,17 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     task meets all rows of a language; texts don't travel.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("rows")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col}")
     # about a third more ids than are wanted lie under the bound, were all ids single; if they repeat, all ids do
-    ids = {r["lang"]: r["ids"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.03).alias("ids")).collect()}
+    ids = {r["lang"]: r["ids"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.03).alias("ids")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(ids) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col}")
     bounds = docs.sparkSession.createDataFrame([(lang, float(min(1.0, 1.35 * sample / max(n, 1)))) for lang, n in ids.items()], "lang string, bound double")
     h = F.xxhash64("doc_id")
     few = rows.select("lang", "doc_id", h.alias("h")).join(F.broadcast(bounds), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound") * (1 << 30)).select("lang", "doc_id", "h").distinct()
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id")
     chosen = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("lang", "doc_id")
     # at most sample ids for each of MOST_LANGUAGES; a broadcast while that is some MB
-    chosen = F.broadcast(chosen) if len(counts) * sample <= 1_000_000 else chosen
+    chosen = F.broadcast(chosen) if len(ids) * sample <= 1_000_000 else chosen
     counted = rows.join(chosen, ["lang", "doc_id"], "left_semi").select("text", "lang").mapInArrow(_count_batches, "lang string, gram long, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")

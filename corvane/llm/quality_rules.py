@@ -41,6 +41,50 @@ BOILERPLATE = (
     "add to cart",
     "page not found",
     "powered by",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "cookies akzeptieren",
+    "javascript aktivieren",
+    "weiterlesen",
+    "mehr erfahren",
+    "hier klicken",
+    "newsletter abonnieren",
+    "auf facebook teilen",
+    "zum inhalt springen",
+    "nach oben",
+    "in den warenkorb",
+    "seite nicht gefunden",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "mentions légales",
+    "accepter les cookies",
+    "activer javascript",
+    "lire la suite",
+    "en savoir plus",
+    "cliquez ici",
+    "abonnez-vous",
+    "partager sur facebook",
+    "aller au contenu",
+    "haut de page",
+    "ajouter au panier",
+    "page introuvable",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "términos y condiciones",
+    "aviso legal",
+    "aceptar cookies",
+    "activar javascript",
+    "leer más",
+    "más información",
+    "haga clic aquí",
+    "suscríbete",
+    "compartir en facebook",
+    "saltar al contenido",
+    "volver arriba",
+    "añadir al carrito",
+    "página no encontrada",
 )
 
 
@@ -149,7 +193,7 @@ def quality_rules(
     """One row per row of docs: counts, base_failed, kept_share, clean_text and kept.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_share (word characters
-    left after failing lines went), dropped_lines (map of rule to number of lines), clean_text, kept. A null or
+    left after failing lines went), dropped_rules (the rule of each line that went, in order), clean_text, kept. A null or
     blank text has no words, fails the base counts and is not kept; null ids pass through; rows are independent,
     so repeated rows repeat their result; other columns of docs are ignored.
     """

@@ -354,7 +354,7 @@ class Codec:
 _codecs: dict = {}
 
 
-def codec(path: str, cache_bytes: int = 48 << 20) -> Codec:
+def codec(path: str, cache_bytes: int = 24 << 20) -> Codec:
     """The codec of this Python worker: tasks that follow each other share it and its words."""
     if (path, cache_bytes) not in _codecs:
         _codecs[path, cache_bytes] = Codec(path, cache_bytes)

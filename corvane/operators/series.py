@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.keys import order_key
+from corvane.operators.graph import cut
 from corvane.operators.ranks import sums_before
 
 
@@ -39,13 +41,59 @@ def best_epochs(df: DataFrame, by: Sequence[str], epoch: str, rules: dict[str, b
     return df.groupBy(*by).agg(*[F.min_by(F.when(F.col(m).isNotNull(), F.col(epoch)), F.when(F.col(m).isNotNull(), F.struct((-F.col(m) if larger else F.col(m)).alias("m"), F.col(epoch)))).alias(f"best_{m}") for m, larger in rules.items()])
 
 
+def _affine(keep: float, first: bool, values: list) -> tuple[float, float]:
+    """(a, b) of the map x -> a x + b that a stretch of values makes of the average before it."""
+    a, b = 1.0, 0.0
+    for v in values:
+        if v is None:
+            continue
+        a, b = (0.0, v) if first else (a * keep, b * keep + (1 - keep) * v)
+        first = False
+    return a, b
+
+
 def moving_average(df: DataFrame, by: Sequence[str], order: str, value: str, keep: float = 0.95) -> DataFrame:
-    """by, order, value, ema: keep times the last average and the rest of the value, from the first value on. A series is
-    folded as one array, so it should fit a task's memory."""
-    held = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("x"))
-    step = lambda s, p: F.array_append(s, F.struct(p["o"].alias("o"), p["v"].alias("v"), F.when(F.size(s) == 0, p["v"]).otherwise(F.element_at(s, -1)["e"] * keep + p["v"] * (1 - keep)).alias("e")))
-    kind = f"array<struct<o:{dict(df.dtypes)[order]},v:double,e:double>>"
-    return held.select(*by, F.explode(F.aggregate("x", F.array().cast(kind), step)).alias("y")).select(*by, F.col("y.o").alias(order), F.col("y.v").alias(value), F.col("y.e").alias("ema"))
+    """by, order, value, ema: keep times the last average and the rest of the value, from the first value on.
+
+    A row is an affine map of the average before it. Rows are dealt by ranges of by and order; each stretch of a series
+    within a range is one map, these few are composed in order, and each stretch then starts from what they give: a
+    series of any length is never in one place. A null value leaves the average as it is; order is unique within by.
+    """
+    by = list(by)
+    names = [f"_s{k}" for k in range(len(by))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    placed = cut(rows.repartitionByRange(*names, "_o").withColumn("_part", F.spark_partition_id()))
+    own, kinds = [*names, "_part"], {f.name: f.dataType.simpleString() for f in placed.schema}
+    begins = placed.where("_v is not null").groupBy(*names).agg(F.min("_part").alias("_begin"))
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}b"))
+    begins = begins.select(*[F.col(n).alias(f"{n}b") for n in names], "_begin")
+    # -1 before a series' first value, 0 where it falls, 1 after
+    held = placed.join(begins, same, "left").withColumn("_phase", F.coalesce(F.signum(F.col("_part") - F.col("_begin")), F.lit(-1)).cast("int")).select(*own, "_o", "_v", "_phase")
+
+    def compose(table: pa.Table) -> pa.Table:
+        part = table.sort_by("_o")
+        a, b = _affine(keep, part.column("_phase")[0].as_py() == 0, part.column("_v").to_pylist())
+        return pa.table([*[part.column(n).slice(0, 1) for n in own], pa.array([a]), pa.array([b])], names=[*own, "_a", "_b"])
+
+    head = ", ".join(f"{n} {kinds[n]}" for n in own)
+    maps = cut(held.groupBy(*own).applyInArrow(compose, f"{head}, _a double, _b double"))
+    fold = F.aggregate(F.sort_array(F.collect_list(F.struct("_part", "_a", "_b"))), F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<part:int,start:double>>").alias("out")), lambda s, m: F.struct((m["_a"] * s["at"] + m["_b"]).alias("at"), F.array_append(s["out"], F.struct(m["_part"].alias("part"), s["at"].alias("start"))).alias("out")), lambda s: s["out"])  # noqa: E501
+    starts = maps.groupBy(*names).agg(fold.alias("_x")).select(*names, F.explode("_x").alias("_y")).select(*names, F.col("_y.part").alias("_part"), F.col("_y.start").alias("_start"))
+
+    def run(table: pa.Table, start: pa.Table) -> pa.Table:
+        part, now, out = table.sort_by("_o"), start.column("_start")[0].as_py(), []
+        some = part.column("_phase")[0].as_py() == 1
+        for v in part.column("_v").to_pylist():
+            if v is not None:
+                now, some = (now * keep + (1 - keep) * v, True) if some else (v, True)
+            out.append(now if some else None)
+        return pa.table([*[part.column(n) for n in names], part.column("_o"), part.column("_v"), pa.array(out, pa.float64())], names=[*names, "_o", "_v", "ema"])
+
+    kind = ", ".join(f"{n} {kinds[n]}" for n in [*names, "_o"])
+    done = held.groupBy(*own).cogroup(starts.groupBy(*own)).applyInArrow(run, f"{kind}, _v double, ema double")
+    return done.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], F.col("_o").alias(order), F.col("_v").alias(value), "ema")
 
 
 def curve_facts(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import catalogue, copies, duplicates, evaluation, portable, resampling, splits, summaries
+from corvane.plans import catalogue, copies, duplicates, evaluation, masks, portable, resampling, splits, summaries
 
-FAMILIES = [catalogue, splits, duplicates, copies, evaluation, portable, summaries, resampling]
+FAMILIES = [catalogue, splits, duplicates, copies, evaluation, portable, summaries, resampling, masks]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

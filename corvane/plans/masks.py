@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corvane.operators import cases as C
 from corvane.operators import masks as M
 from corvane.sources.tables import table
 
@@ -79,6 +80,12 @@ def channel_summary(spark, sf):
     return out.select("vec_id", "peak_channel", F.round("enhancement", 6).alias("enhancement"))
 
 
+def lesion_rows(spark, sf):
+    """Stretches of consecutive lines over a quantity of 15, an order a case; orders with a line twice give an error."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.greatest(F.col("l_quantity") - 15, F.lit(0)).alias("area"))
+    return C.lesion_rows(li, "l_orderkey", "l_linenumber", "area").select("l_orderkey", "lesion", "first", "last", "peak", F.round("total", 6).alias("total"), F.col("error").isNotNull().alias("bad"))
+
+
 _PX = "px as (select vec_id, i // 8 as y, i % 8 as x, v::double as v from (select vec_id, unnest(range(0, 64)) as i, unnest(embedding) as v from embeddings))"
 _BESIDE = "abs(a.y - b.y) + abs(a.x - b.x) = 1"
 _AROUND = "greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1"
@@ -121,5 +128,10 @@ SQL = {
     "text_lines": f"with recursive {_BOXES}, {_GLYPHS}, {_FOLLOWS}, ways as (select * from links union all select l_suppkey, b, a from links), reach as (select distinct l_suppkey, a, a as r from ways union select r.l_suppkey, w.b, r.r from reach r join ways w on w.l_suppkey = r.l_suppkey and w.a = r.a), roots as (select l_suppkey, a, min(r) as root from reach group by l_suppkey, a) select l_suppkey, count(*) as lines from (select l_suppkey, root from roots group by l_suppkey, root having count(*) >= 3) group by l_suppkey",
     "glyph_partners": "with g as (select l_orderkey, l_quantity::int as h, l_linenumber * 3 as w, row_number() over () as k from lineitem) select l_orderkey, count(*) as calipers from g a where exists (select 1 from g b where b.l_orderkey = a.l_orderkey and b.k <> a.k and abs(a.h - b.h) <= 4 and abs(a.w - b.w) <= 4) group by l_orderkey",
     "channel_summary": "with m as (select vec_id, [list_sum(embedding[16 * k + 1:16 * k + 16]::double[]) / 16 for k in range(0, 4)] as means from embeddings) select vec_id, case when means[1] > 0 then list_position(means, list_max(means)) - 1 end as peak_channel, round(case when means[1] > 0 then list_max(means) / means[1] end, 6) as enhancement from m",
+    "lesion_rows": (
+        "with bad as (select distinct l_orderkey from lineitem group by l_orderkey, l_linenumber having count(*) > 1), r as (select l_orderkey, l_linenumber as z, greatest(l_quantity - 15, 0) as n from lineitem l anti join bad b on l.l_orderkey = b.l_orderkey),"
+        " g as (select *, z - row_number() over (partition by l_orderkey order by z) as k from r where n > 0), t as (select l_orderkey, min(z) as first, max(z) as last, arg_min(z, (-n, z)) as peak, round(sum(n)::double, 6) as total from g group by l_orderkey, k)"
+        " select l_orderkey, (row_number() over (partition by l_orderkey order by first))::int as lesion, first, last, peak, total, false as bad from t union all select l_orderkey, null, null, null, null, null, true from bad"
+    ),
 }
-QUERIES = {f.__name__: f for f in (mask_components, mask_components_diagonal, mask_geometry, mask_region, mask_opened, local_means, bright_overlays, text_lines, glyph_partners, channel_summary)}
+QUERIES = {f.__name__: f for f in (mask_components, mask_components_diagonal, mask_geometry, mask_region, mask_opened, local_means, bright_overlays, text_lines, glyph_partners, channel_summary, lesion_rows)}

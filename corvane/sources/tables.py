@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -20,15 +21,22 @@ def _absent(error: AnalysisException) -> bool:
 def files_under(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """path, length, modified of the files under root, by suffix (any case) if any is given; contents are never read.
 
-    Folders are no files, whatever their names, and empty files are left out; a root that does not exist gives no rows.
+    Empty files are files; folders, whatever their names, and symbolic links are none; a root that does not exist gives
+    no rows. The names are listed by the driver, as Spark's own readers do.
     """
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    except AnalysisException as e:
-        if not _absent(e):
-            raise
-        return spark.createDataFrame([], "path string, length long, modified timestamp")
-    files = files.select("path", "length", F.col("modificationTime").alias("modified"))
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    if store.exists(top):
+        walk = store.listFiles(top, True)
+        while walk.hasNext():
+            status = walk.next()
+            path = status.getPath().toString()
+            local = path.removeprefix("file:") if path.startswith("file:") else None
+            if not (status.isSymlink() or local and os.path.islink(local)):
+                rows.append((path, status.getLen(), status.getModificationTime()))
+    files = spark.createDataFrame(rows, "path string, length long, modified long").select("path", "length", F.timestamp_millis("modified").alias("modified"))
     if suffixes:
         match = F.lit(False)
         for x in suffixes:
@@ -113,18 +121,16 @@ def validity(df: DataFrame, key: list[str], columns: list[str], counted: list[st
 
 
 def predictions(spark: SparkSession, root: str, runs: list[str], folds: list[int], schema: str) -> tuple[DataFrame, list[tuple[str, int]]]:
-    """Rows of root/run=.../fold=... with run and fold, and the (run, fold) that are not there."""
-    found, missing = spark.createDataFrame([], f"{schema}, run string, fold int"), []
-    for run, fold in ((r, k) for r in runs for k in folds):
-        try:
-            part = spark.read.schema(schema).parquet(f"{root}/run={run}/fold={fold}")
-        except AnalysisException as e:
-            if not _absent(e):
-                raise
-            missing.append((run, fold))
-            continue
-        found = found.unionByName(part.withColumn("run", F.lit(run)).withColumn("fold", F.lit(fold)))
-    return found, missing
+    """Rows of root/run=.../fold=... with run and fold, and the (run, fold) that are not there; one scan for all of them."""
+    jvm = spark.sparkContext._jvm
+    place = lambda run, fold: f"{root}/run={run}/fold={fold}"
+    there = lambda path: (p := jvm.org.apache.hadoop.fs.Path(path)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    asked = [(r, k) for r in runs for k in folds]
+    held = [x for x in asked if there(place(*x))]
+    if not held:
+        return spark.createDataFrame([], f"{schema}, run string, fold int"), asked
+    found = spark.read.schema(f"{schema}, run string, fold int").option("basePath", root).parquet(*[place(*x) for x in held])
+    return found, [x for x in asked if x not in set(held)]
 
 
 def run_results(spark: SparkSession, path: str, fold_schema: str) -> DataFrame:

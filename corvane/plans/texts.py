@@ -1,16 +1,10 @@
-"""Queries that are one SQL text for both engines: catalogue, summary, join, window and pixel work.
-
-{table} stands for a table of the folder. Spark plans the text over the Parquet files; nothing is collected.
-"""
+"""DuckDB SQL of the queries in tabular and pixels; {table} stands for a table of the folder."""
 
 from __future__ import annotations
 
 import re
 
-from corvane.sources.tables import table
-
-PX = "(select vec_id, label, posexplode(embedding) as (i, v) from {embeddings})"
-PX_DUCK = "(select vec_id, label, unnest(range(0, 64)) as i, unnest(embedding) as v from embeddings)"
+PX = "(select vec_id, label, unnest(range(0, 64)) as i, unnest(embedding) as v from embeddings)"
 GRID = "(select vec_id, label, i, cast(floor(i / 8) as int) as y, i % 8 as x, cast(v as double) as v from {px})"
 
 TEXT = {
@@ -93,30 +87,13 @@ TEXT = {
     "px_ssim_global": "select vec_id, round((2 * ma * mb + 0.0001) * (2 * cov + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)), 6) as ssim from (select a.vec_id, avg(a.v) as ma, avg(b.v) as mb, var_pop(a.v) as va, var_pop(b.v) as vb, covar_pop(a.v, b.v) as cov from {GRID} a join {GRID} b on b.vec_id = a.vec_id + 1 and b.i = a.i group by a.vec_id) t",
     "px_slice_choice": "select vec_id, y from (select vec_id, y, row_number() over (partition by vec_id order by y) - 1 as r, count(*) over (partition by vec_id) as n from (select vec_id, y from {GRID} where v > 0.0 group by vec_id, y having count(*) >= 4) a) b where abs(r - floor(n / 2)) <= 1",
 }
-EPOCH = {"spark": "cast(unix_micros(lead(cast(ts as timestamp)) over (partition by user_id order by ts, event_id)) - unix_micros(cast(ts as timestamp)) as bigint)", "duck": "epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts)"}
-
-
-def _spark(text: str) -> str:
-    return text.replace("{GRID}", GRID.replace("{px}", PX)).replace("{EPOCH}", EPOCH["spark"]).replace("{HALF_EVEN}", "bround")
+EPOCH = "epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts)"
 
 
 def _duck(text: str) -> str:
-    text = text.replace("{GRID}", GRID.replace("{px}", PX_DUCK)).replace("{EPOCH}", EPOCH["duck"]).replace("{HALF_EVEN}", "round_even").replace("left anti join", "anti join")
-    return re.sub(r"\{(\w+)\}", r"\1", text)
-
-
-def _query(name: str):
-    text = _spark(TEXT[name])
-    tables = sorted(set(re.findall(r"\{(\w+)\}", text)))
+    text = text.replace("{GRID}", GRID.replace("{px}", PX)).replace("{EPOCH}", EPOCH).replace("{HALF_EVEN}", "round_even").replace("left anti join", "anti join")
     # decimal literals are doubles on both sides
-    text = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", text)
-
-    def run(spark, sf):
-        return spark.sql(text, **{t: table(spark, sf, t) for t in tables})
-
-    run.__name__ = name
-    return run
+    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1::double", re.sub(r"\{(\w+)\}", r"\1", text))
 
 
-QUERIES = {name: _query(name) for name in TEXT}
-SQL = {name: re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1::double", _duck(text)) for name, text in TEXT.items()}
+SQL = {name: _duck(text) for name, text in TEXT.items()}

@@ -124,7 +124,7 @@ def auc_replicates(df: DataFrame, group: str, label: str, scores: Sequence[str],
     found = sums.groupBy(*names).applyInArrow(_whole(len(by)), f"{head}, auc array<double>")
     long = found.select(*names, F.posexplode("auc").alias("k", "v"))
     wide = long.groupBy(*names[1:], "k").agg(*[F.max(F.when((F.col("m") == k) & ~F.isnan("v"), F.col("v"))).alias(f"auc_{s}") for k, s in enumerate(scores)])
-    return wide.select(*[F.col(f"b{k}").alias(c) for k, c in enumerate(by)], (F.col("k") + 1).alias("replicate"), *[f"auc_{s}" for s in scores])
+    return wide.select(*[F.col(f"b{k}").alias(c) for k, c in enumerate(by)], (F.col("k") + 1).cast("long").alias("replicate"), *[f"auc_{s}" for s in scores])
 
 
 def paired_bootstrap(df: DataFrame, group: str, label: str, a: str, b: str, replicates: int = 2000, seed: int = 0) -> DataFrame:

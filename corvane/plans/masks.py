@@ -83,7 +83,7 @@ def channel_summary(spark, sf):
 def lesion_rows(spark, sf):
     """Stretches of consecutive lines over a quantity of 15, an order a case; orders with a line twice give an error."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.greatest(F.col("l_quantity") - 15, F.lit(0)).alias("area"))
-    return C.lesion_rows(li, "l_orderkey", "l_linenumber", "area").select("l_orderkey", "lesion", "first", "last", "peak", F.round("total", 6).alias("total"), F.col("error").isNotNull().alias("bad"))
+    return C.lesion_rows(li, "l_orderkey", "l_linenumber", "area").select("l_orderkey", "lesion", *[F.col(c).cast("int").alias(c) for c in ("first", "last", "peak")], F.round("total", 6).alias("total"), F.col("error").isNotNull().alias("bad"))
 
 
 _PX = "px as (select vec_id, i // 8 as y, i % 8 as x, v::double as v from (select vec_id, unnest(range(0, 64)) as i, unnest(embedding) as v from embeddings))"

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import catalogue, copies, duplicates, evaluation, masks, pixels, resampling, splits, summaries, tabular
+from corvane.plans import catalogue, copies, duplicates, evaluation, layouts, masks, pixels, resampling, splits, summaries, tabular
 
-FAMILIES = [catalogue, splits, duplicates, copies, evaluation, tabular, pixels, summaries, resampling, masks]
+FAMILIES = [catalogue, splits, duplicates, copies, evaluation, tabular, pixels, summaries, resampling, masks, layouts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

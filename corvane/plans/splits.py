@@ -81,10 +81,8 @@ def k_per_group_epoch(spark, sf):
 
 
 def ood_holdout(spark, sf):
-    """Source src0 is out of distribution; the rest is folded by source."""
-    docs = _docs(spark, sf)
-    rest = S.group_folds(docs.where("source <> 'src0'"), "source", "lang", "doc_id", 4, 42)
-    return rest.select("doc_id", "source", F.col("fold").cast("string").alias("part")).union(docs.where("source = 'src0'").select("doc_id", "source", F.lit("ood").alias("part")))
+    """Source src0 is out of distribution; the rest, rows without a source included, is folded by source."""
+    return S.out_of_distribution(_docs(spark, sf), "source", ["src0"], "source", "lang", "doc_id", 4, 42).select("doc_id", "source", "part")
 
 
 def _groups(rel, group, seed="42"):
@@ -108,7 +106,7 @@ SQL = {
     "class_weights": "select cast(i as integer) as label, round((select count(*) from embeddings) / (12.0::double * coalesce(n, 1)), 9) as weight from range(12) t(i) left join (select label, count(*) n from embeddings group by 1) on i = label",
     "sample_per_label": f"select vec_id, label from (select vec_id, label, row_number() over (partition by label order by {KEY.format('vec_id')}, vec_id) r from embeddings) where r <= 5",
     "k_per_group_epoch": "select o_orderkey, o_custkey, cast(e as integer) as epoch from (select o_orderkey, o_custkey, e, row_number() over (partition by e, o_custkey order by md5(concat_ws(':', cast(42 + e as varchar), cast(o_orderkey as varchar))), o_orderkey) r from orders, range(3) t(e)) where r <= 2",
-    "ood_holdout": f"with f as ({_FOLD.format(k=4, group='source', label='lang', order='doc_id', rel='(select * from documents where source <> ' + chr(39) + 'src0' + chr(39) + ')')}) select doc_id, source, coalesce(cast(fold as varchar), 'ood') as part from documents left join f on source = g",
+    "ood_holdout": f"with f as ({_FOLD.format(k=4, group='source', label='lang', order='doc_id', rel='(select * from documents where source is distinct from ' + chr(39) + 'src0' + chr(39) + ')')}) select doc_id, source, coalesce(cast(fold as varchar), 'ood') as part from documents left join f on source is not distinct from g",
 }
 SQL["split_checks"] = f"with h as ({SQL['holdout_group']}) select (select count(*) from (select source from h group by source having count(distinct split) > 1)) as overlapping, (select count(*) from documents where doc_id not in (select doc_id from h)) as lost"
 QUERIES = {f.__name__: f for f in (holdout_group, holdout_stratified, stratified_70_15_15, group_folds, group_kfold, official_kfold, fixed_test_kfold, nested_three_way, block_groups, balanced_weights, class_weights, split_checks, sample_per_label, k_per_group_epoch, ood_holdout)}

@@ -187,6 +187,15 @@ def bright_overlays(df: DataFrame, image: str, pixels: Column, width: int, size:
 
 # ---------------------------------------------------------------- glyphs and lines of text
 
+# Least and most height, width and ink (share of the box) of a letter; and, in heights of the first of
+# two letters, how far the second may begin behind it, lie above or below it, and differ in height.
+GLYPH_HEIGHT, GLYPH_WIDTH, GLYPH_INK = (6, 24), (2, 20), (0.15, 0.85)
+LINE_GAP, LINE_SHIFT, LINE_CHANGE = 1.2, 0.3, 0.4
+# Of a drawn cross, least and most side, width over height, pixels over both sides, share of a side from
+# which a line is a bar, how many bars each way, and how far the longest may be from the middle.
+CROSS_SIDE, CROSS_SHAPE, CROSS_INK = (7, 30), (0.6, 1.6), 2.2
+BAR_SHARE, BARS, BAR_OFF = 0.7, (1, 3), 0.25
+
 
 def text_lines(boxes: DataFrame, image: str, least: int = 3) -> DataFrame:
     """image, lines: how many runs of at least least glyphs share a line, of boxes(image, x0, x1, y0, y1, area) with ends exclusive.
@@ -198,14 +207,14 @@ def text_lines(boxes: DataFrame, image: str, least: int = 3) -> DataFrame:
     """
     h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     named = boxes.select(F.col(image).alias("image"), "x0", "x1", h.alias("h"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), F.struct(F.col(image).alias("image"), "x0", "y0", "x1", "y1").alias("id"), (F.col("area") / (h * w)).alias("ink"), w.alias("w"))
-    glyphs = cut(named.where(F.col("h").between(6, 24) & F.col("w").between(2, 20) & F.col("ink").between(0.15, 0.85)))
+    glyphs = cut(named.where(F.col("h").between(*GLYPH_HEIGHT) & F.col("w").between(*GLYPH_WIDTH) & F.col("ink").between(*GLYPH_INK)))
     # what follows begins between the glyph's own start and 1.2 heights (28.8 at most) behind its end, and lies within 7.2 lines
     strip, band = lambda c: F.floor(c / 48).cast("int"), lambda c: F.floor(c / 12).cast("int")
-    first = glyphs.withColumn("s", F.explode(F.sequence(strip(F.col("x0")), strip(F.col("x1") + 1.2 * F.col("h"))))).withColumn("b", F.explode(F.sequence(band(F.col("cy") - 0.3 * F.col("h")), band(F.col("cy") + 0.3 * F.col("h")))))
+    first = glyphs.withColumn("s", F.explode(F.sequence(strip(F.col("x0")), strip(F.col("x1") + LINE_GAP * F.col("h"))))).withColumn("b", F.explode(F.sequence(band(F.col("cy") - LINE_SHIFT * F.col("h")), band(F.col("cy") + LINE_SHIFT * F.col("h")))))
     then = glyphs.select(F.col("image").alias("_i"), F.col("id").alias("j"), F.col("x0").alias("_x0"), F.col("h").alias("_h"), F.col("cy").alias("_cy"), strip(F.col("x0")).alias("_s"), band(F.col("cy")).alias("_b"))
     met = first.join(then, F.col("image").eqNullSafe(F.col("_i")) & (F.col("s") == F.col("_s")) & (F.col("b") == F.col("_b")))
     after = (F.col("_x0") > F.col("x0")) | ((F.col("_x0") == F.col("x0")) & (F.col("j") > F.col("id")))
-    follows = after & (F.col("_x0") - F.col("x1") <= 1.2 * F.col("h")) & (F.abs(F.col("cy") - F.col("_cy")) <= 0.3 * F.col("h")) & (F.abs(F.col("h") - F.col("_h")) <= 0.4 * F.col("h"))
+    follows = after & (F.col("_x0") - F.col("x1") <= LINE_GAP * F.col("h")) & (F.abs(F.col("cy") - F.col("_cy")) <= LINE_SHIFT * F.col("h")) & (F.abs(F.col("h") - F.col("_h")) <= LINE_CHANGE * F.col("h"))
     lines = components(met.where(follows).select(F.col("id").alias("a"), F.col("j").alias("b")), "a", "b").groupBy("root").agg(F.count("*").alias("n"))
     return lines.where(F.col("n") >= least).groupBy(F.col("root.image").alias(image)).agg(F.count("*").alias("lines"))
 
@@ -215,7 +224,7 @@ def cross_glyphs(parts: DataFrame) -> DataFrame:
     three wide lines and tall columns, the widest line and the tallest column near the middle."""
     n = F.col("x1") - F.col("x0") + 1
     table = component_table(parts).select("image", "y0", "left", "area", "top", "first", (F.col("bottom") - F.col("top") + 1).alias("h"), (F.col("last") - F.col("first") + 1).alias("w"))
-    thin = cut(table.where(F.col("h").between(7, 30) & F.col("w").between(7, 30) & (F.col("w") / F.col("h")).between(0.6, 1.6) & (F.col("area") <= 2.2 * (F.col("h") + F.col("w")))))
+    thin = cut(table.where(F.col("h").between(*CROSS_SIDE) & F.col("w").between(*CROSS_SIDE) & (F.col("w") / F.col("h")).between(*CROSS_SHAPE) & (F.col("area") <= CROSS_INK * (F.col("h") + F.col("w")))))
     own = _of(parts, thin)
     keys = ["image", "y0", "left"]
     rows = own.groupBy(*keys, "y").agg(F.sum(n).alias("n"))
@@ -227,13 +236,13 @@ def cross_glyphs(parts: DataFrame) -> DataFrame:
         """How many lines are at least 0.7 as long as the glyph, and how far the longest (the first of them) is from the middle."""
         held = lines.join(sizes, same)
         place = F.min_by(F.col(at) - F.col(begin), F.struct(-F.col("n"), F.col(at)))
-        return held.groupBy(*keys).agg(F.count_if(F.col("n") >= 0.7 * F.col(length)).alias(f"{name}_n"), (F.abs(place - F.first(across) / 2) / F.first(across)).alias(f"{name}_off"))
+        return held.groupBy(*keys).agg(F.count_if(F.col("n") >= BAR_SHARE * F.col(length)).alias(f"{name}_n"), (F.abs(place - F.first(across) / 2) / F.first(across)).alias(f"{name}_off"))
 
     wide, tall = bars(rows, "y", "top", "w", "h", "wide"), bars(columns, "x", "first", "h", "w", "tall")
     named = lambda t, s: t.select(*[F.col(k).alias(f"_{s}{k}") for k in keys], *[c for c in t.columns if c not in keys])
     on = lambda s: F.col("image").eqNullSafe(F.col(f"_{s}image")) & (F.col("y0") == F.col(f"_{s}y0")) & (F.col("left") == F.col(f"_{s}left"))
     both = thin.join(named(wide, "a"), on("a")).join(named(tall, "b"), on("b"))
-    return both.where(F.col("wide_n").between(1, 3) & F.col("tall_n").between(1, 3) & (F.col("wide_off") <= 0.25) & (F.col("tall_off") <= 0.25)).select(*keys, "h", "w")
+    return both.where(F.col("wide_n").between(*BARS) & F.col("tall_n").between(*BARS) & (F.col("wide_off") <= BAR_OFF) & (F.col("tall_off") <= BAR_OFF)).select(*keys, "h", "w")
 
 
 def paired_glyphs(glyphs: DataFrame, near: int = 4) -> DataFrame:

@@ -89,7 +89,15 @@ BOILERPLATE = (
 
 
 # The phrases as whole words, with any white space between them.
-FURNITURE = r"(?<![\p{L}\p{M}\p{N}_])(?:" + "|".join(p.replace(" ", SPACE_RUN) for p in BOILERPLATE) + r")(?![\p{L}\p{M}\p{N}_])"
+def _any_of(phrases: list[str], depth: int = 2) -> str:
+    """An alternation that branches by letter first, so that a word is held against few phrases; their order stays."""
+    if depth == 0 or "" in phrases:
+        return "(?:" + "|".join(p.replace(" ", SPACE_RUN) for p in phrases) + ")"
+    first = dict.fromkeys(p[0] for p in phrases)
+    return "(?:" + "|".join(c.replace(" ", SPACE_RUN) + _any_of([p[1:] for p in phrases if p[0] == c], depth - 1) for c in first) + ")"
+
+
+FURNITURE = r"(?<![\p{L}\p{M}\p{N}_])" + _any_of(list(BOILERPLATE)) + r"(?![\p{L}\p{M}\p{N}_])"
 
 
 def _count(text: Column, pattern: str) -> Column:

@@ -10,6 +10,7 @@ best priority stays, and one that had lost to a suppressed interval alone comes
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from corvane.llm.text import ascii_lower, running
 
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # A-Z are of words; the same words as after lower-casing
 
-# The phrases every scan reports, with their labels.
+# The phrases that a scan reports unless it is given others, with their labels.
 BASE = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 # License label, keyword, regex of its name in normalised words.
@@ -337,25 +338,26 @@ def _table(entries: list[dict]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in e.items()]) for e in entries])
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = BASE) -> DataFrame:
     """One row per row of docs: base places, detections, labels and a score.
 
     doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections: array of
     (start, end, label, weight) with words counted from 0, end exclusive, after suppression. score is the largest
     weight (0 without a detection, 1 for a base place). Null and empty texts have no words and no labels. Null
-    ids pass through; repeated rows repeat their result; other columns of docs are ignored.
+    ids pass through; repeated rows repeat their result; other columns of docs are ignored. phrases are the words of
+    the base places, in lower case with single blanks, and their labels; texts with one of them pass the gate.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = df.select("doc_id", F.concat(F.lit(" "), F.trim(F.regexp_replace("text", NO_WORD, " ")), F.lit(" ")).alias("spaced"))
     low = F.lower("spaced")  # of ASCII phrases it holds all that ascii_lower gives, and is cheaper
     gate = low.contains(GATES[0])
-    for phrase in GATES[1:]:
+    for phrase in [*GATES[1:], *[f" {p} " for p, _ in phrases if not any(g in f" {p} " for g in GATES)]]:
         gate = gate | low.contains(phrase)
     n_words = F.when(F.length("spaced") > 2, _blanks(F.col("spaced")) - 1).otherwise(0).cast("long")
     df = df.select("doc_id", n_words.alias("n_words"), F.when(gate, ascii_lower(F.col("spaced"))).alias("norm"))
 
     base = F.transform(
-        _table([{"phrase": p, "label": label} for p, label in BASE]),
+        _table([{"phrase": p, "label": label} for p, label in phrases]),
         lambda r: F.transform(_intervals(F.col("norm"), r["phrase"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(-1).alias("priority"), r["label"].alias("label"), F.lit(1.0).alias("weight"))),
     )
     usable = F.filter(_table(rules()), lambda r: F.col("norm").contains(r["keyword"]))

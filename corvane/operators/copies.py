@@ -101,6 +101,18 @@ def pair_counts(members: DataFrame, links: DataFrame | None = None, other_groups
     return out
 
 
+def member_leaks(members: DataFrame, key: str) -> DataFrame:
+    """key, class_id, split, copies, leaks of every member: how many others its class has, and how many of them are in another
+    split. Unknown splits differ from none.
+
+    Members meet counts by class and split, never each other.
+    """
+    cells = cut(members.groupBy("class_id", "split").agg(F.count("*").alias("n")))
+    sizes = cells.groupBy(F.col("class_id").alias("_c")).agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("split").isNotNull(), F.col("n"))), F.lit(0)).alias("known"))
+    told = cells.join(sizes, F.col("class_id") == F.col("_c")).select("_c", F.col("split").alias("_s"), (F.col("all") - 1).alias("copies"), F.when(F.col("split").isNotNull(), F.col("known") - F.col("n")).otherwise(0).alias("leaks"))
+    return members.join(told, (F.col("class_id") == F.col("_c")) & F.col("split").eqNullSafe(F.col("_s"))).select(key, "class_id", "split", "copies", "leaks")
+
+
 def leaking_classes(counts: DataFrame) -> DataFrame:
     """The edges of pair_counts() over which some pair leaks."""
     return counts.where("holdout + kfold > 0")

@@ -14,7 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.scalar import ratio
-from corvane.operators.graph import components, cut
+from corvane.operators.graph import components_within, cut
+
+
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df, joined by sorting: what grows with the images is never collected by the driver to be broadcast."""
+    return df.hint("merge")
 
 
 def mask_runs(df: DataFrame, image: str, mask: Column, width: Column | int) -> DataFrame:
@@ -32,11 +37,14 @@ def labelled(runs: DataFrame, diagonal: bool = False) -> DataFrame:
     Runs touch where they share a column in neighbouring lines, or, with diagonal, where columns are neighbours.
     """
     reach = 1 if diagonal else 0
-    node = lambda s: F.struct(F.col(f"{s}.image").alias("image"), F.col(f"{s}.y").alias("y"), F.col(f"{s}.x0").alias("x"))
+    at = lambda s: F.shiftleft(F.col(f"{s}.y").cast("long"), 32) + F.col(f"{s}.x0")
     runs = cut(runs)
-    pairs = runs.alias("r").join(runs.alias("s"), F.expr(f"r.image <=> s.image and s.y = r.y + 1 and s.x0 <= r.x1 + {reach} and s.x1 >= r.x0 - {reach}"))
-    roots = components(pairs.select(node("r").alias("a"), node("s").alias("b")), "a", "b").select(F.col("node.image").alias("_i"), F.col("node.y").alias("_y"), F.col("node.x").alias("_x"), F.col("root.y").alias("_ry"), F.col("root.x").alias("_rx"))
-    held = runs.join(roots, F.col("image").eqNullSafe(F.col("_i")) & (F.col("y") == F.col("_y")) & (F.col("x0") == F.col("_x")), "left")
+    pairs = runs.alias("r").join(sorted_side(runs).alias("s"), F.expr(f"r.image <=> s.image and s.y = r.y + 1 and s.x0 <= r.x1 + {reach} and s.x1 >= r.x0 - {reach}"))
+    roots = components_within(pairs.select(F.col("r.image").alias("image"), at("r").alias("a"), at("s").alias("b")), "image", "a", "b")
+    x = lambda c: F.shiftright(F.shiftleft(F.col(c), 32), 32).cast("int")
+    y = lambda c: F.shiftright(F.col(c) - x(c), 32).cast("int")
+    named = roots.select(F.col("group").alias("_i"), y("node").alias("_y"), x("node").alias("_x"), y("root").alias("_ry"), x("root").alias("_rx"))
+    held = runs.join(sorted_side(named), F.col("image").eqNullSafe(F.col("_i")) & (F.col("y") == F.col("_y")) & (F.col("x0") == F.col("_x")), "left")
     return held.select("image", "y", "x0", "x1", F.coalesce("_ry", "y").alias("y0"), F.coalesce("_rx", "x0").alias("left"))
 
 
@@ -50,7 +58,7 @@ def component_table(parts: DataFrame) -> DataFrame:
 def _of(parts: DataFrame, table: DataFrame) -> DataFrame:
     """The runs of the components that table(image, y0, left) has."""
     named = table.select(F.col("image").alias("_i"), F.col("y0").alias("_y"), F.col("left").alias("_l"))
-    return parts.join(named, F.col("image").eqNullSafe(F.col("_i")) & (F.col("y0") == F.col("_y")) & (F.col("left") == F.col("_l")), "left_semi")
+    return parts.join(sorted_side(named), F.col("image").eqNullSafe(F.col("_i")) & (F.col("y0") == F.col("_y")) & (F.col("left") == F.col("_l")), "left_semi")
 
 
 def largest_component(runs: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def inverted(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The runs of what is not set, within images of sizes(image, width, height)."""
     lines = sizes.select(F.col("image").alias("_i"), "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("_y"))
     own = runs.groupBy("image", "y").agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("r"))
-    held = lines.join(own, F.col("image").eqNullSafe(F.col("_i")) & (F.col("y") == F.col("_y")), "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<x0:int,x1:int>>")))
+    held = lines.join(sorted_side(own), F.col("image").eqNullSafe(F.col("_i")) & (F.col("y") == F.col("_y")), "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<x0:int,x1:int>>")))
     gaps = F.zip_with(F.concat(F.array(F.lit(-1)), F.col("r.x1")), F.concat(F.col("r.x0"), F.array(F.col("width"))), lambda a, b: F.struct((a + 1).alias("x0"), (b - 1).alias("x1")))
     return held.select(F.col("_i").alias("image"), F.col("_y").alias("y"), F.explode(F.filter(gaps, lambda g: g["x0"] <= g["x1"])).alias("g")).select("image", "y", "g.x0", "g.x1")
 
@@ -78,7 +86,7 @@ def inverted(runs: DataFrame, sizes: DataFrame) -> DataFrame:
 def filled(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """runs with all holes set: parts of the rest that do not reach the edge of their image."""
     rest = cut(labelled(inverted(runs, sizes)))
-    table = component_table(rest).join(sizes.select(F.col("image").alias("_s"), "width", "height"), F.col("image").eqNullSafe(F.col("_s")))
+    table = component_table(rest).join(sorted_side(sizes.select(F.col("image").alias("_s"), "width", "height")), F.col("image").eqNullSafe(F.col("_s")))
     holes = _of(rest, table.where("top > 0 and first > 0 and bottom < height - 1 and last < width - 1")).select("image", "y", "x0", "x1")
     return _merged(runs.unionByName(holes))
 
@@ -95,7 +103,7 @@ def dilated(runs: DataFrame, sizes: DataFrame, times: int = 1) -> DataFrame:
     """runs grown by all pixels within times steps along lines and columns, inside their images."""
     each = runs.select("image", "y", "x0", "x1", F.explode(F.sequence(F.lit(-times), F.lit(times))).alias("d"))
     grown = each.select("image", (F.col("y") + F.col("d")).alias("y"), (F.col("x0") - times + F.abs("d")).alias("x0"), (F.col("x1") + times - F.abs("d")).alias("x1"))
-    held = grown.join(sizes.select(F.col("image").alias("_i"), "width", "height"), F.col("image").eqNullSafe(F.col("_i"))).where("y >= 0 and y < height")
+    held = grown.join(sorted_side(sizes.select(F.col("image").alias("_i"), "width", "height")), F.col("image").eqNullSafe(F.col("_i"))).where("y >= 0 and y < height")
     return _merged(held.select("image", "y", F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", F.col("width") - 1).alias("x1")))
 
 
@@ -114,7 +122,7 @@ def opened(runs: DataFrame, sizes: DataFrame, times: int = 1) -> DataFrame:
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """The runs of pixels that are set in both."""
     other = b.select(F.col("image").alias("_i"), F.col("y").alias("_y"), F.col("x0").alias("_a"), F.col("x1").alias("_b"))
-    held = a.join(other, F.col("image").eqNullSafe(F.col("_i")) & (F.col("y") == F.col("_y")) & (F.col("_a") <= F.col("x1")) & (F.col("_b") >= F.col("x0")))
+    held = a.join(sorted_side(other), F.col("image").eqNullSafe(F.col("_i")) & (F.col("y") == F.col("_y")) & (F.col("_a") <= F.col("x1")) & (F.col("_b") >= F.col("x0")))
     return held.select("image", "y", F.greatest("x0", "_a").alias("x0"), F.least("x1", "_b").alias("x1"))
 
 
@@ -143,9 +151,9 @@ def geometry(runs: DataFrame, sizes: DataFrame, region: DataFrame | None = None)
     inner = eroded(runs, sizes).groupBy("image").agg(F.sum(n).alias("inner"))
     parts = component_table(labelled(runs)).groupBy("image").agg(F.count("*").alias("components"))
     inside = overlap(runs, region if region is not None else runs).groupBy("image").agg(F.sum(n).alias("inside"))
-    out = sizes.join(facts.withColumnRenamed("image", "_f"), F.col("image").eqNullSafe(F.col("_f")))
+    out = sizes.join(sorted_side(facts.withColumnRenamed("image", "_f")), F.col("image").eqNullSafe(F.col("_f")))
     for k, part in enumerate((inner, parts, inside)):
-        out = out.join(part.withColumnRenamed("image", f"_p{k}"), F.col("image").eqNullSafe(F.col(f"_p{k}")), "left")
+        out = out.join(sorted_side(part.withColumnRenamed("image", f"_p{k}")), F.col("image").eqNullSafe(F.col(f"_p{k}")), "left")
     edge = F.col("area") - F.coalesce("inner", F.lit(0))
     return out.select(
         "image", "area", (F.col("area") / (F.col("width") * F.col("height"))).alias("area_share"), "components", "box_width", "box_height", (F.col("mx") / F.col("width")).alias("cx"), (F.col("my") / F.col("height")).alias("cy"),
@@ -206,17 +214,19 @@ def text_lines(boxes: DataFrame, image: str, least: int = 3) -> DataFrame:
     line have no row.
     """
     h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
-    named = boxes.select(F.col(image).alias("image"), "x0", "x1", h.alias("h"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), F.struct(F.col(image).alias("image"), "x0", "y0", "x1", "y1").alias("id"), (F.col("area") / (h * w)).alias("ink"), w.alias("w"))
-    glyphs = cut(named.where(F.col("h").between(*GLYPH_HEIGHT) & F.col("w").between(*GLYPH_WIDTH) & F.col("ink").between(*GLYPH_INK)))
+    named = boxes.select(F.col(image).alias("image"), "x0", "x1", h.alias("h"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), F.struct("x0", "y0", "x1", "y1").alias("box"), (F.col("area") / (h * w)).alias("ink"), w.alias("w"))
+    numbered = lambda d: d.withColumn("id", F.dense_rank().over(Window.partitionBy("image").orderBy("box"))).drop("box")
+    glyphs = cut(numbered(named.where(F.col("h").between(*GLYPH_HEIGHT) & F.col("w").between(*GLYPH_WIDTH) & F.col("ink").between(*GLYPH_INK))))
     # what follows begins between the glyph's own start and 1.2 heights (28.8 at most) behind its end, and lies within 7.2 lines
     strip, band = lambda c: F.floor(c / 48).cast("int"), lambda c: F.floor(c / 12).cast("int")
     first = glyphs.withColumn("s", F.explode(F.sequence(strip(F.col("x0")), strip(F.col("x1") + LINE_GAP * F.col("h"))))).withColumn("b", F.explode(F.sequence(band(F.col("cy") - LINE_SHIFT * F.col("h")), band(F.col("cy") + LINE_SHIFT * F.col("h")))))
     then = glyphs.select(F.col("image").alias("_i"), F.col("id").alias("j"), F.col("x0").alias("_x0"), F.col("h").alias("_h"), F.col("cy").alias("_cy"), strip(F.col("x0")).alias("_s"), band(F.col("cy")).alias("_b"))
-    met = first.join(then, F.col("image").eqNullSafe(F.col("_i")) & (F.col("s") == F.col("_s")) & (F.col("b") == F.col("_b")))
+    met = first.join(sorted_side(then), F.col("image").eqNullSafe(F.col("_i")) & (F.col("s") == F.col("_s")) & (F.col("b") == F.col("_b")))
     after = (F.col("_x0") > F.col("x0")) | ((F.col("_x0") == F.col("x0")) & (F.col("j") > F.col("id")))
     follows = after & (F.col("_x0") - F.col("x1") <= LINE_GAP * F.col("h")) & (F.abs(F.col("cy") - F.col("_cy")) <= LINE_SHIFT * F.col("h")) & (F.abs(F.col("h") - F.col("_h")) <= LINE_CHANGE * F.col("h"))
-    lines = components(met.where(follows).select(F.col("id").alias("a"), F.col("j").alias("b")), "a", "b").groupBy("root").agg(F.count("*").alias("n"))
-    return lines.where(F.col("n") >= least).groupBy(F.col("root.image").alias(image)).agg(F.count("*").alias("lines"))
+    links = met.where(follows).select("image", F.col("id").alias("a"), F.col("j").alias("b"))
+    lines = components_within(links, "image", "a", "b").groupBy("group", "root").agg(F.count("*").alias("n"))
+    return lines.where(F.col("n") >= least).groupBy(F.col("group").alias(image)).agg(F.count("*").alias("lines"))
 
 
 def cross_glyphs(parts: DataFrame) -> DataFrame:

@@ -11,10 +11,15 @@
 4. Points and queries are range-partitioned by curve, band and range of keys. A range holds 16-bit codes; ranges with
    many points or queries are cut into parts of bounded size.
 5. The best of all ranges merge, and are ranked again on the original vectors, which are fetched for them alone.
+   What a query still has to beat comes from a bounded sample and, on large tables, from looks at a part of the points,
+   each four times as large as the one before; so the rows that a query finds don't grow with the table.
+6. An exact check follows, as a point lies on some of the curves only and windows end: every query meets all points
+   whose length lets them beat what it has found, in blocks of bounded size and in double precision.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +73,7 @@ class Curves:
             axes += list(np.linalg.qr(rng.normal(size=(dim, dim)))[0].T)
         self.planes = np.array(axes[: curves * AXES])
         self.curves, self.copies = curves, min(copies, curves)
-        self.sample, self.reps = sample.astype(np.float32), reps
+        self.sample, self.reps = sample.astype(np.float32), reps  # what queries are compared with at first
         length = np.linalg.norm(sample, axis=1)
         y = sample / length[:, None] @ self.planes.T
         self.low = y.min(axis=0)
@@ -85,6 +90,14 @@ class Curves:
         self.share = np.bincount(np.searchsorted(self.edges, length, side="right"), minlength=len(self.edges) + 1) / len(length)
         self.probes, self.ranges = 0, np.zeros(len(self.share), np.int64)
 
+    def whole(self) -> Curves:
+        """One curve with one range a band, which all points lie on and all queries look through."""
+        one = copy.copy(self)
+        one.planes, one.low, one.unit, one.order = self.planes[:AXES], self.low[:AXES], self.unit[:AXES], self.order[:, :1]
+        one.curves = one.copies = one.probes = 1
+        one.ranges = np.ones(len(self.share), np.int64)
+        return one
+
     def _keys(self, y: np.ndarray) -> np.ndarray:
         cells = np.clip((y - self.low) / self.unit * (1 << GRID_BITS), 0, (1 << GRID_BITS) - 1).astype(np.int64)
         return np.stack([hilbert_keys(cells[:, c * AXES : (c + 1) * AXES], GRID_BITS) for c in range(self.curves)], axis=1)
@@ -198,17 +211,20 @@ def _asking(curves: Curves, q: np.ndarray, at: np.ndarray, best: np.ndarray) ->
 
 
 def _loads(curves: Curves):
-    """Points and queries of each range, summed over a task."""
+    """Points and queries of each range, summed over a task, and the length of its longest point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = curves.curves * int(curves.ranges.sum())
-        held = np.zeros((2, n), np.int64)
+        held, top = np.zeros((2, n), np.int64), np.zeros(n)
         for batch in _slices(batches):
-            band, at, best = curves.place(_vectors(batch))
-            held[0] += np.bincount(_on_curves(curves, band, at, best)[1], minlength=n)
+            x = _vectors(batch)
+            band, at, best = curves.place(x)
+            r, slot = _on_curves(curves, band, at, best)
+            held[0] += np.bincount(slot, minlength=n)
+            np.maximum.at(top, slot, np.linalg.norm(x.astype(np.float64), axis=1)[r])
             held[1] += np.bincount(_asking(curves, np.nonzero(batch.column("asks").to_numpy(zero_copy_only=False))[0], at, best)[1], minlength=n)
         used = np.nonzero(held.any(axis=0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[0, used]), pa.array(held[1, used])], ["slot", "points", "queries"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[0, used]), pa.array(held[1, used]), pa.array(top[used])], ["slot", "points", "queries", "top"])
 
     return run
 
@@ -221,23 +237,31 @@ def _parted(rows: np.ndarray, slots: np.ndarray, own: np.ndarray, other: np.ndar
     return rows[place], slots[place], mine[place], np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
 
 
-def _spread(curves: Curves, p_parts: np.ndarray, q_parts: np.ndarray, k: int):
-    """A coded row for each curve of each point, and for queries one for each range they look through."""
+def _spread(curves: Curves, p_parts: np.ndarray, q_parts: np.ndarray, tops: np.ndarray, k: int, exact: bool):
+    """A coded row (exact: a whole one) for each curve of each point, and for queries one for each range they look through.
+
+    No query is sent to a range whose longest point can't reach what the query has found.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            x = _vectors(batch).astype(np.float32)
+            x = _vectors(batch).astype(np.float64 if exact else np.float32)
             rep, asks = batch.column("rep").to_numpy(), np.nonzero(batch.column("asks").to_numpy(zero_copy_only=False))[0]
             band, at, best = curves.place(x)
-            scale = np.abs(x).max(axis=1) / np.float32(32767)
+            scale = (np.abs(x).max(axis=1) / 32767).astype(np.float32)
             codes = np.rint(x / scale[:, None]).astype(np.int16)
-            least = np.full(len(x), -np.inf)
-            if len(asks):
-                least[asks] = curves.least_scores(x[asks], rep[asks], k)
+            length = np.linalg.norm(x.astype(np.float64), axis=1)
+            least = batch.column("least").to_numpy(zero_copy_only=False)
+            if len(asks) and not exact:
+                least = least.copy()
+                least[asks] = np.maximum(least[asks], curves.least_scores(x[asks], rep[asks], k))
             for asking in (False, True):
                 r, slot = _asking(curves, asks, at, best) if asking else _on_curves(curves, band, at, best)
+                if asking:
+                    ok = length[r] * tops[slot] * (1 + 1e-6) >= least[r]
+                    r, slot = r[ok], slot[ok]
                 r, slot, mine, other = _parted(r, slot, *((q_parts, p_parts) if asking else (p_parts, q_parts)), rep)
-                held = [v.tobytes() for v in (x if asking else codes)]
+                held = [v.tobytes() for v in (x if asking or exact else codes)]
                 part, q_part = (other, mine) if asking else (mine, other)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(slot), pa.array(part.astype(np.int32)), pa.array(q_part.astype(np.int32)), pa.array(np.full(len(r), asking)), pa.array(rep[r]), pa.array(scale[r]), pa.array(least[r]), pa.array([held[i] for i in r], pa.binary())],
@@ -247,7 +271,7 @@ def _spread(curves: Curves, p_parts: np.ndarray, q_parts: np.ndarray, k: int):
     return run
 
 
-def _best(most: int):
+def _best(most: int, exact: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ask, reps, scale, least = (table.column(c).to_numpy() for c in ("asking", "rep", "scale", "least"))
@@ -257,16 +281,16 @@ def _best(most: int):
             codes = table.column("code")
             read = lambda rows, kind: np.frombuffer(b"".join(codes.take(pa.array(rows)).to_pylist()), kind).reshape(len(rows), -1)
             c = c[np.argsort(reps[c], kind="stable")]
-            x = read(c, np.int16).astype(np.float32) * scale[c][:, None]
+            x = read(c, np.float64) if exact else read(c, np.int16).astype(np.float32) * scale[c][:, None]
+            longest = np.linalg.norm(x, axis=1).max()
             for i in range(0, len(q), 512):
-                asked = read(q[i : i + 512], np.float32)
+                asked = read(q[i : i + 512], np.float64 if exact else np.float32)
                 scores = asked @ x.T
-                # four standard deviations of the rounding of codes
-                slack = 4 * np.linalg.norm(asked, axis=1) * float(scale[c].max()) / np.sqrt(12)
+                # four standard deviations of the rounding of codes, on both sides; or a bound of that of sums
+                slack = np.linalg.norm(asked, axis=1) * (1e-12 * longest if exact else 8 * float(scale[c].max()) / np.sqrt(12))
+                floor = least[q[i : i + 512]] - slack
                 if scores.shape[1] > most:
-                    floor = np.maximum(np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most], least[q[i : i + 512]] - slack)
-                else:
-                    floor = least[q[i : i + 512]] - slack
+                    floor = np.maximum(np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most] - (slack if exact else 0), floor)
                 a, b = np.nonzero(scores >= floor[:, None])
                 out.append((reps[q[i : i + 512]][a], reps[c][b], scores[a, b]))
         a, b, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -275,6 +299,39 @@ def _best(most: int):
     return run
 
 
+def _looks(n: int, sample: int) -> list[float]:
+    """Shares of the points that queries look at in turn: of each look, and of the sample before, the next is four times the size at most."""
+    shares = [1.0]
+    while shares[-1] * n > 4 * sample:
+        shares.append(shares[-1] / 4)
+    return shares[::-1]
+
+
+def _met(points: DataFrame, curves: Curves, most: int, k: int, exact: bool, shares: list[float], salt: int) -> DataFrame:
+    """query, rep, score: what those of points(rep, vector, asks, least) that ask find among all of them, in the last of the looks."""
+    p_parts, q_parts = np.ones((2, curves.curves * int(curves.ranges.sum())), np.int64)
+    tops = np.zeros(len(p_parts))
+    loads = points.mapInArrow(_loads(curves), "slot long, points long, queries long, top double").groupBy("slot").agg(F.sum("points").alias("points"), F.sum("queries").alias("queries"), F.max("top").alias("top"))
+    for r in loads.collect():  # a row for each range, whose number has a bound
+        s = r["slot"]
+        p_parts[s], q_parts[s], tops[s] = max(1, -(-r["points"] // PART)), max(1, -(-r["queries"] // PART)), r["top"]
+    keys = ["slot", "part", "q_part"]
+    for share in shares:
+        looked = points.where(F.col("asks") | (F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(1 << 31)) < int(share * (1 << 31))))
+        spread = looked.mapInArrow(_spread(curves, p_parts, q_parts, tops, k, exact), "slot long, part int, q_part int, asking boolean, rep long, scale float, least double, code binary")
+        found = spread.repartitionByRange(*keys).groupBy(*keys).applyInArrow(_best(most, exact), "query long, rep long, score double")
+        if share < 1:
+            points = _told(points, found.groupBy("query", "rep").agg(F.max("score").alias("score")), k)
+    return found
+
+
+def _told(points: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """points with least: the score of the k + 1st of what each query has found, and without bound where there are fewer."""
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    last = found.withColumn("at", F.row_number().over(by_score)).where(F.col("at") == k + 1).select(F.col("query").alias("rep"), F.col("score").alias("found"))
+    return cut(points.join(last, "rep", "left").withColumn("least", F.coalesce("found", "least")).drop("found"), "told")
+
+
 def _few(points: DataFrame, n: int, most: int, salt: int) -> DataFrame:
     """About most of n points, those of small hashes of their rep; only they travel."""
     part = F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(1 << 31))
@@ -293,6 +350,8 @@ def nearest(
     sample: int = 8000,
     measured: int = 128,
     seed: int = 5,
+    compared: int = 20_000,
+    rest: bool = True,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product found for each query.
 
@@ -301,8 +360,10 @@ def nearest(
     vectors with null or non-finite components, of another than the usual dimension, or without an id take no part,
     as queries and as candidates. Ties go to the smaller id; repeated rows count once, and an id with several
     vectors with the best of them; an empty table gives no rows. Planes, shifts and range bounds come from at most
-    sample vectors, windows from at most measured queries against all vectors (documented bounds); every vector is
-    indexed, and no range, copy or group is left out.
+    sample vectors, windows from at most measured queries against all vectors, and first bounds of scores from at most
+    compared vectors (documented bounds). With rest the answer is exact: after the curves every query meets all that
+    they left out and that could still beat what was found, which is quadratic where lengths are alike. Without rest
+    the answer has the recall of the curves.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col)
@@ -319,34 +380,34 @@ def nearest(
     reps = first.where("at = 1").select(F.col("id").alias("rep"), "vector")
     members = first.join(reps, "vector").select("rep", "id")
     askers = cut(held.where("asks").select("id", "vector").join(reps, "vector").select(F.col("id").alias("query_id"), F.col("rep").alias("query")), "askers")
-    points = reps.join(askers.select(F.col("query").alias("rep")).distinct().withColumn("asks", F.lit(True)), "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    points = reps.join(askers.select(F.col("query").alias("rep")).distinct().withColumn("asks", F.lit(True)), "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(False))).withColumn("least", F.lit(float("-inf")))
     points = cut(points, "asking")
 
     n, n_asks = points.agg(F.count("*"), F.count_if("asks")).first()
     if not n_asks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    taken = _few(points.select("rep", "vector"), n, sample, seed).collect()
+    taken = _few(points.select("rep", "vector"), n, max(sample, compared), seed).collect()
     tried = np.array([r["vector"] for r in _few(points.where("asks").select("rep", "vector"), n_asks, measured, seed + 1).collect() or taken[:measured]], np.float64)
-    learnt = Curves(np.array([r["vector"] for r in taken], np.float64), np.array([r["rep"] for r in taken], np.int64), curves, copies, seed)
+    drawn, own = np.array([r["vector"] for r in taken], np.float64), np.array([r["rep"] for r in taken], np.int64)
+    learnt = Curves(drawn[:sample], own[:sample], curves, copies, seed)
+    learnt.sample, learnt.reps = drawn[:compared].astype(np.float32), own[:compared]
     by_score = Window.partitionBy("q").orderBy(F.desc("score"))
     truth = points.select("vector").mapInArrow(_truth(tried, k + 1), "q int, score double, vector array<double>")
     known = truth.withColumn("at", F.row_number().over(by_score)).where(F.col("at") <= k + 1).collect()
     learnt.tune(tried, np.array([r["q"] for r in known]), np.array([r["vector"] for r in known]), n, recall)
 
-    loads = points.mapInArrow(_loads(learnt), "slot long, points long, queries long").groupBy("slot").agg(F.sum("points").alias("points"), F.sum("queries").alias("queries")).collect()
-    p_parts, q_parts = np.ones((2, curves * int(learnt.ranges.sum())), np.int64)
-    for r in loads:  # a row for each range, whose number has a bound
-        p_parts[r["slot"]], q_parts[r["slot"]] = max(1, -(-r["points"] // PART)), max(1, -(-r["queries"] // PART))
-    spread = points.mapInArrow(_spread(learnt, p_parts, q_parts, k), "slot long, part int, q_part int, asking boolean, rep long, scale float, least double, code binary")
-    keys = ["slot", "part", "q_part"]
-    found = spread.repartitionByRange(*keys).groupBy(*keys).applyInArrow(_best(3 * (k + 1)), "query long, rep long, score double")
+    found = _met(points, learnt, 3 * (k + 1), k, False, _looks(n, len(learnt.sample)), seed + 2)
     merged = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
     by_code = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     likely = merged.withColumn("at", F.row_number().over(by_code)).where(F.col("at") <= 3 * (k + 1)).select("query", "rep")
     product = F.aggregate(F.zip_with("asked", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     asked_of = points.where("asks").select(F.col("rep").alias("query"), F.col("vector").alias("asked"))
-    scored = likely.join(points.select("rep", "vector"), "rep").join(asked_of, "query").select("query", "rep", product.alias("score"))
-    near = cut(scored.withColumn("at", F.row_number().over(by_code)).where(F.col("at") <= k + 1).select("query", "rep", "score"), "near")
+    scored = lambda pairs: pairs.join(points.select("rep", "vector"), "rep").join(asked_of, "query").select("query", "rep", product.alias("score"))
+    first_of = lambda pairs: cut(pairs.withColumn("at", F.row_number().over(by_code)).where(F.col("at") <= k + 1).select("query", "rep", "score"), "near")
+    near = first_of(scored(likely))
+    if rest:
+        more = _met(_told(points, near, k), learnt.whole(), k + 1, k, True, [1.0], seed)
+        near = first_of(near.unionByName(scored(more.join(near, ["query", "rep"], "left_anti").select("query", "rep"))))
     each = near.join(members, "rep").withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("at") <= k + 1)
     answers = askers.join(each, "query").where("id <> query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

@@ -114,6 +114,23 @@ def sample_per(df: DataFrame, by: list[str], key: str, n: int, seed: int) -> Dat
     return df.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= n).drop("_at")
 
 
+def samples_per(df: DataFrame, by: list[str], key: str, n: int, seeds: list[int], name: str = "epoch", shares: int = 16) -> DataFrame:
+    """sample_per for each of seeds, with the place of the seed (from 0) as name.
+
+    Rows travel without their hashes, and once for all seeds: first by shares of each value of by, so that a large one
+    is not one task's, and then those that lead their share for a seed.
+    """
+
+    def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
+        held = rows.repartition(*keys)
+        return held.withColumns({f"_at{i}": F.row_number().over(Window.partitionBy(*keys).orderBy(order_key(s, key), key)) for i, s in enumerate(seeds)})
+
+    leads = F.array(*[F.when(F.col(f"_at{i}") <= n, F.lit(i)) for i in range(len(seeds))])
+    first = placed(df.withColumn("_share", F.pmod(F.xxhash64(key), F.lit(shares))), [*by, "_share"])
+    some = first.where(F.exists(leads, lambda x: x.isNotNull())).select(*df.columns)
+    return placed(some, by).select(*df.columns, F.explode(F.array_compact(leads)).alias(name))
+
+
 def overlapping_groups(df: DataFrame, group: str, split: str, used: str | None = None) -> DataFrame:
     """group, splits: groups with used rows in more than one split; empty for a sound protocol.
 

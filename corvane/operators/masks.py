@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from corvane.functions.scalar import ratio
 from corvane.operators.graph import components_within, cut
 
+GLYPHS = 1 << 18  # in one task, on average
+
 
 def sorted_side(df: DataFrame) -> DataFrame:
     """df, joined by sorting: what grows with the images is never collected by the driver to be broadcast."""
@@ -258,13 +260,16 @@ def cross_glyphs(parts: DataFrame) -> DataFrame:
 def paired_glyphs(glyphs: DataFrame, near: int = 4) -> DataFrame:
     """image, calipers: glyphs(image, h, w) that have a partner in their image whose height and width differ by at most near.
 
-    Counts by size meet, not glyphs, so many of one size cost one row.
+    Counts by size meet, not glyphs, so many of one size cost one row; a size is kept or not by whether it meets one, so
+    what meets is never gathered. The image is held in a struct, in which nulls are equal: one shuffle by it serves
+    the counts, the join and the sums. Its parts hold GLYPHS glyphs on average, however many there are.
     """
-    sizes = glyphs.groupBy("image", "h", "w").agg(F.count("*").alias("n"))
-    other = sizes.select(F.col("image").alias("_i"), F.col("h").alias("_h"), F.col("w").alias("_w"), F.col("n").alias("_n"))
-    met = sizes.join(other, F.col("image").eqNullSafe(F.col("_i")) & (F.abs(F.col("h") - F.col("_h")) <= near) & (F.abs(F.col("w") - F.col("_w")) <= near))
-    beside = met.groupBy("image", "h", "w", "n").agg(F.sum("_n").alias("all"))
-    return beside.where("all > 1").groupBy("image").agg(F.sum("n").alias("calipers"))
+    parts = max(glyphs.sparkSession.sparkContext.defaultParallelism, -(-glyphs.count() // GLYPHS))
+    sizes = glyphs.select(F.struct("image").alias("_k"), "h", "w").repartition(parts, "_k").groupBy("_k", "h", "w").agg(F.count("*").alias("n"))
+    other = sizes.select(F.col("_k").alias("_i"), F.col("h").alias("_h"), F.col("w").alias("_w"))
+    near_by = (F.abs(F.col("h") - F.col("_h")) <= near) & (F.abs(F.col("w") - F.col("_w")) <= near)
+    met = sorted_side(sizes).join(sorted_side(other), (F.col("_k") == F.col("_i")) & near_by & ((F.col("n") > 1) | (F.col("h") != F.col("_h")) | (F.col("w") != F.col("_w"))), "left_semi")
+    return met.groupBy("_k").agg(F.sum("n").alias("calipers")).select("_k.image", "calipers")
 
 
 def artifact_flags(df: DataFrame, flags: dict[str, Column]) -> DataFrame:

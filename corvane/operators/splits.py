@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corvane.functions.keys import order_key
 from corvane.operators.ranks import ranked
 
+ROWS = 1 << 18  # in one task, on average
+
 
 def _held(fraction: float) -> Column:
     """max(1, floor(n f)) of the column total."""
@@ -118,11 +120,12 @@ def samples_per(df: DataFrame, by: list[str], key: str, n: int, seeds: list[int]
     """sample_per for each of seeds, with the place of the seed (from 0) as name.
 
     Rows travel without their hashes, and once for all seeds: first by shares of each value of by, so that a large one
-    is not one task's, and then those that lead their share for a seed.
+    is not one task's, and then those that lead their share for a seed. Parts hold ROWS rows on average, however many there are.
     """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
 
     def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
-        held = rows.repartition(*keys)
+        held = rows.repartition(parts, *keys)
         return held.withColumns({f"_at{i}": F.row_number().over(Window.partitionBy(*keys).orderBy(order_key(s, key), key)) for i, s in enumerate(seeds)})
 
     leads = F.array(*[F.when(F.col(f"_at{i}") <= n, F.lit(i)) for i in range(len(seeds))])

@@ -14,6 +14,8 @@ from corvane.llm.queries import tokenizer_file
 
 #: A document goes if it has no letter, or if its n-grams lie this far from every profile.
 LEAST_LANGUAGE_SCORE = 0.05
+#: Characters of a pack of the last stage, a third of the operator's own: executors still hold what four stages have touched, and disk is not short.
+PACK = piece_encoding.PACK // 3
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces and ids of every row; a null or empty text has no ids, null ids pass through, repeated rows repeat."""
-    return piece_encoding.encode(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    return piece_encoding.encode(docs, tokenizer_file("piece_bpe_32k.model"), pack=PACK).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
 STAGES = [
